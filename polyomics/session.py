@@ -43,3 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, when it isn't installed. On a cluster whose nodes don't
+    share that folder, ship the package with ``--py-files`` instead."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
