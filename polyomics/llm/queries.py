@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyomics.llm import bpe, dedup
-from polyomics.session import materialize
+from polyomics.llm import bpe, dedup, names
+from polyomics.session import materialize, reach_workers
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "strain"), table(spark, d, "medium"), table(spark, d, "canon_list")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.match(*_names(spark, d))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return names.unmatched(*_names(spark, d))
+
+
 def _records(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "condition_raw": dedup.hashed(dedup.canonical_conditions(table(spark, d, "condition_raw"))),
@@ -35,5 +48,5 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids}
 SQL: dict[str, str] = {}
