@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyomics.llm import bpe, dedup, names
+from polyomics.llm import bpe, dedup, mixture, names
 from polyomics.session import materialize, reach_workers
 
 
@@ -48,5 +48,21 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids}
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    target = table(spark, d, "mix_target")
+    named = table(spark, d, "documents").join(F.broadcast(target.select("source").distinct()), "source", "left_semi")
+    cut = materialize(mixture.blocks(materialize(bpe.count(named), "counted")), "blocks")
+    planned = materialize(mixture.plan(cut, target), "planned")
+    return mixture.mix(cut, planned), planned
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(*_mixture(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
