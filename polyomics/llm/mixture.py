@@ -1,9 +1,9 @@
 """Problem 7: sources mixed to target shares of tokens.
 
 A low-discrepancy schedule: slot i of the mixture gets the point frac(i * golden ratio), and the source in whose stretch of the
-cumulative weights the point falls. A source's documents are shuffled and cut into blocks of equal tokens; the r-th slot of a source
-takes its r-th block, beginning anew when the source is through. The shares reached are those of the slots, whatever the length of
-the mixture, up to one block.
+cumulative weights the point falls. A source's documents, shuffled, are one stream of tokens, begun anew when it is through; the
+r-th slot of a source takes the r-th block of the stream. All blocks have the same number of tokens, documents being cut where a
+block is full, so that the shares are those of the slots at any length, up to a few blocks.
 """
 
 from __future__ import annotations
@@ -13,92 +13,93 @@ from pyspark.sql import functions as F
 
 # Fixed value: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
-#: Tokens of a block, and documents of a bucket within which a running sum is taken.
-BLOCK = 4096
-BUCKET_ROWS = 5_000
+#: Tokens of a block; rows of a bucket within which a rank or running sum is taken.
+BLOCK = 2048
+BUCKET_ROWS = 10_000
 
 
-def blocks(counted: DataFrame, block: int = BLOCK, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """source, doc_id, n_tokens, block: the documents of each source in shuffled order, cut where a multiple of ``block`` tokens is
-    passed. ``counted`` has doc_id, source and n_tokens and is read twice.
+def stream(counted: DataFrame, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """source, doc_id, n_tokens, start: where each document begins in its source's shuffled stream. ``counted`` (doc_id, source,
+    n_tokens) is read twice. Null sources and documents without tokens are left out; copies of a document stay, as rows of their own.
 
     The shuffled order is that of (bucket, hash of doc_id). A running sum over a source would put a third of all rows into one task;
-    here it runs within buckets of some thousand documents and over the bucket totals, one row per bucket.
+    here it runs within buckets of some thousand documents, and over the bucket totals, one row per bucket.
     """
     c = counted.where("source is not null and n_tokens > 0")
-    size = c.groupBy("source").agg(F.count("*").alias("docs"))
-    c = c.join(F.broadcast(size), "source")
-    mix = F.xxhash64(F.lit(seed), "doc_id")
-    c = c.withColumns({"mix": mix, "bucket": F.pmod(F.shiftright(mix, 20), F.ceil(F.col("docs") / bucket_rows).cast("bigint"))})
-    before = F.sum("total").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    totals = c.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("total")).withColumn("before", F.coalesce(before, F.lit(0)))
-    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("mix", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("within", within).join(totals.drop("total"), ["source", "bucket"])
-    return c.select("source", "doc_id", "n_tokens", F.floor((F.col("before") + F.col("within")) / block).alias("block"))
-
-
-def plan(cut: DataFrame, target: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, target_share, weight, max_repeats, tokens, blocks, slots, lo, hi: one row per source of ``target``.
-
-    weight is the share among the sources that have documents (0 for those without), slots the schedule's length: as long as no
-    source is needed more than max_repeats times. lo and hi bound the source's stretch of the cumulative weights.
+    size = c.groupBy("source").agg(F.ceil(F.count("*") / bucket_rows).alias("buckets"))
+    c = c.join(size, "source").withColumn("mix", F.xxhash64(F.lit(seed), "doc_id"))
+    c = c.select("source", "doc_id", "n_tokens", "mix", F.pmod(F.shiftright("mix", 20), F.col("buckets")).alias("bucket"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = c.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("total")).select("source", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "bucket").orderBy("mix", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(totals, ["source", "bucket"])
+    return c.select("source", "doc_id", "n_tokens", (F.col("before") + F.col("within")).alias("start"))
+
+
+def plan(streamed: DataFrame, target: DataFrame, block: int = BLOCK, total_tokens: int | None = None) -> DataFrame:
+    """source, target_share, weight, max_repeats, tokens, turns, slots, lo, hi: one row per source of ``target`` (source,
+    target_share, max_repeats).
+
+    weight is the share among the sources that have documents and may be used, 0 for the others; lo and hi bound the source's
+    stretch of the cumulative weights. turns is how many blocks max_repeats allows. slots is the length of the mixture: as long as
+    no source needs more turns than that, or ``total_tokens`` if that is less.
     """
-    # Blocks are numbered from 0 without holes wider than one document, so the slots count them as they are.
-    have = cut.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("block").alias("blocks"))
-    t = target.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).join(have, "source", "left")
-    usable = F.when((F.col("blocks") > 0) & (F.col("max_repeats") > 0) & (F.col("target_share") > 0), F.col("target_share")).otherwise(0.0)
-    everything = Window.partitionBy(F.lit(0))  # one row per source of the target list
-    t = t.withColumn("weight", F.try_divide(usable, F.sum(usable).over(everything)))
-    # A source is served by its blocks' mean size, so its slots are weighted by the tokens a slot brings.
-    each = F.when(F.col("weight") > 0, F.col("weight") / (F.col("tokens") / F.col("blocks")))
-    t = t.withColumn("pace", F.coalesce(each / F.sum(each).over(everything), F.lit(0.0)))
-    # 3 slots are kept back, as the points of a stretch may be that many more than its length says.
-    most = F.when(F.col("pace") > 0, (F.col("blocks") * F.col("max_repeats") - 3) / F.col("pace"))
-    t = t.withColumn("slots", F.greatest(F.floor(F.min(most).over(everything)), F.lit(0)).cast("bigint"))
-    hi = F.sum("pace").over(everything.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
-    return t.select("source", "target_share", "weight", "max_repeats", "tokens", "blocks", "slots", (hi - F.col("pace")).alias("lo"), hi.alias("hi"))
-
-
-def schedule(planned: DataFrame, bucket: int = 10_000) -> DataFrame:
+    have = streamed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    t = target.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).join(have, "source", "left")
+    t = t.withColumn("turns", F.coalesce(F.floor(F.col("tokens") * F.col("max_repeats") / block), F.lit(0)).cast("bigint"))
+    every = Window.partitionBy(F.lit(0))  # some rows: one per source of the target list
+    share = F.when((F.col("turns") > 0) & (F.col("target_share") > 0), F.col("target_share")).otherwise(0.0)
+    t = t.withColumn("weight", F.coalesce(F.try_divide(share, F.sum(share).over(every)), F.lit(0.0)))
+    most = F.min(F.when(F.col("weight") > 0, F.col("turns") / F.col("weight"))).over(every)
+    slots = F.coalesce(F.floor(most if total_tokens is None else F.least(most, F.lit(total_tokens / block))), F.lit(0)).cast("bigint")
+    hi = F.sum("weight").over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
+    return t.withColumns({"slots": slots, "hi": hi}).select("source", "target_share", "weight", "max_repeats", "tokens", "turns", "slots", (F.col("hi") - F.col("weight")).alias("lo"), "hi")
+
+
+def schedule(planned: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """slot, source, turn: slot i is for the source whose stretch holds frac(i * GOLDEN); turn is its rank among the source's slots.
 
-    Slots are made from the length in ``planned``, ranked within buckets of slots and by the bucket counts before."""
-    p = planned.where("hi > lo").select("source", "lo", "hi", "slots")
-    length = p.agg(F.max("slots").alias("slots"))
-    buckets = length.select(F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("slots") / bucket) - 1, F.lit(0)))).alias("part"), "slots")
-    slots = buckets.repartition("part").select("part", F.explode(F.sequence(F.col("part") * bucket, F.col("part") * bucket + bucket - 1)).alias("slot"), "slots").where("slot < slots").drop("slots")
+    Slots are made where they are needed, from the length in ``planned``; ranks are taken within buckets of slots and added to the
+    counts of the buckets before. A turn beyond what a source's repeats allow, of which the points may ask for a few, is left out.
+    """
+    p = planned.where("weight > 0").select("source", "lo", "hi", "slots", "turns")
+    parts = p.agg(F.coalesce(F.max("slots"), F.lit(0)).alias("slots"), F.array_sort(F.collect_list(F.struct("hi", "source", "turns"))).alias("edges"))
+    parts = parts.where("slots > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / bucket_rows)))).repartition("part")
+    s = parts.withColumn("slot", F.explode(F.sequence(F.col("part") * bucket_rows, F.least(F.col("slots"), (F.col("part") + 1) * bucket_rows) - 1)))
     point = F.col("slot") * GOLDEN - F.floor(F.col("slot") * GOLDEN)
-    edges = p.agg(F.array_sort(F.collect_list(F.struct("hi", "source"))).alias("edges"))
-    own = F.coalesce(F.element_at(F.filter("edges", lambda e: e["hi"] > F.col("point")), 1), F.element_at("edges", -1))
-    s = slots.withColumn("point", point).join(F.broadcast(edges)).select("part", "slot", own["source"].alias("source"))
-    before = F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    counts = s.groupBy("source", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1
-    return s.withColumn("rank", rank).join(counts, ["source", "part"]).select("slot", "source", (F.col("before") + F.col("rank")).alias("turn"))
-
-
-def mix(cut: DataFrame, planned: DataFrame) -> DataFrame:
-    """slot, source, doc_id, n_tokens, repeat: the mixture, one row per document and use, in the order of slot. ``repeat`` is 0 for
-    the first use. A slot's documents are those of one block. Nothing comes out where no source of the target has documents."""
-    numbered = cut.select("source", "block").distinct()
-    # Blocks a long document has run through have no documents: number those that are there.
-    part = F.floor(F.col("block") / 10_000)
-    counts = numbered.groupBy("source", part.alias("part")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("source", "part").orderBy("block")) - 1
-    numbered = numbered.withColumn("part", part).withColumn("rank", rank).join(counts.withColumn("before", before).drop("n"), ["source", "part"])
-    numbered = numbered.select("source", "block", (F.col("before") + F.col("rank")).alias("turn_block"))
-    s = schedule(planned).join(F.broadcast(planned.where("blocks > 0").select("source", "blocks")), "source")
-    s = s.select("slot", "source", F.pmod("turn", "blocks").alias("turn_block"), F.floor(F.col("turn") / F.col("blocks")).alias("repeat"))
-    s = s.join(numbered, ["source", "turn_block"])
-    return s.join(cut, ["source", "block"]).select("slot", "source", "doc_id", "n_tokens", "repeat")
+    own = F.coalesce(F.get(F.filter("edges", lambda e: e["hi"] > point), F.lit(0)), F.element_at("edges", -1))
+    s = s.select("part", "slot", own.alias("own")).select("part", "slot", "own.source", "own.turns")
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = s.groupBy("source", "part").agg(F.count("*").alias("n")).select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("source", "part").orderBy("slot")) - 1).join(counts, ["source", "part"])
+    return s.withColumn("turn", F.col("before") + F.col("rank")).where("turn < turns").select("slot", "source", "turn")
+
+
+def mix(streamed: DataFrame, planned: DataFrame, block: int = BLOCK) -> DataFrame:
+    """slot, place, source, doc_id, first_token, n_tokens, repeat: the mixture in the order of (slot, place).
+
+    Each row is the tokens first_token .. first_token + n_tokens - 1 of a document, counted from 0; the rows of a slot have ``block``
+    tokens together. repeat is 0 the first time through the source. Documents meet their blocks in an equi-join on (source, turn).
+    Without usable sources there are no rows.
+    """
+    used = schedule(planned)
+    needed = used.groupBy("source").agg(F.max("turn").alias("last"))
+    p = planned.join(needed, "source").select("source", "tokens", "last")
+    d = streamed.join(F.broadcast(p), "source")  # as many rows as the target list
+    through = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("last") + 1) * block / F.col("tokens")))
+    d = d.withColumn("repeat", F.explode(through)).withColumn("at", F.col("repeat") * F.col("tokens") + F.col("start"))
+    d = d.withColumn("turn", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("n_tokens") - 1) / block)))).where("turn <= last")
+    begin, end = F.greatest("at", F.col("turn") * block), F.least(F.col("at") + F.col("n_tokens"), (F.col("turn") + 1) * block)
+    d = d.select("source", "turn", "doc_id", "repeat", (begin - F.col("turn") * block).alias("place"), (begin - F.col("at")).alias("first_token"), (end - begin).alias("n_tokens"))
+    return d.join(used, ["source", "turn"]).select("slot", "place", "source", "doc_id", "first_token", "n_tokens", "repeat")
 
 
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
-    """source, target_share, weight, reached_share, mixed_tokens, tokens, most_repeats, max_repeats for every source of the target.
+    """source, target_share, weight, reached_share, mixed_tokens, tokens, repeats, max_repeats for every source of the target.
 
-    reached_share is of all tokens of the mixture; null if the mixture is empty. A source without documents reaches 0."""
-    m = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), (F.max("repeat") + 1).alias("most_repeats"))
-    t = planned.join(m, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    reached_share is of all tokens of the mixture, null if it is empty; repeats is how many times the source's tokens are used on
+    average. A source without documents reaches 0: the others keep their proportions."""
+    m = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
+    t = planned.join(m, "source", "left").withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
     reached = F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
-    return t.select("source", "target_share", "weight", reached.alias("reached_share"), "mixed_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")
+    return t.select("source", "target_share", "weight", reached.alias("reached_share"), "mixed_tokens", "tokens", F.try_divide(F.col("mixed_tokens"), F.col("tokens")).alias("repeats"), "max_repeats")

@@ -51,9 +51,9 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     target = table(spark, d, "mix_target")
     named = table(spark, d, "documents").join(F.broadcast(target.select("source").distinct()), "source", "left_semi")
-    cut = materialize(mixture.blocks(materialize(bpe.count(named), "counted")), "blocks")
-    planned = materialize(mixture.plan(cut, target), "planned")
-    return mixture.mix(cut, planned), planned
+    streamed = materialize(mixture.stream(materialize(bpe.count(named), "counted")), "streamed")
+    planned = materialize(mixture.plan(streamed, target), "planned")
+    return mixture.mix(streamed, planned), planned
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
