@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyomics.llm import bpe, dedup, mixture, names
+from polyomics.llm import bpe, dedup, mixture, names, split
 from polyomics.session import materialize, reach_workers
 
 
@@ -64,5 +64,9 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(*_mixture(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
