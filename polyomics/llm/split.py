@@ -25,7 +25,7 @@ OVERLAP = 64
 #: A cut of a stronger kind is taken if the piece is filled to this part.
 FILL = 0.5
 #: Stretches without blanks are taken apart if they have more tokens.
-ATOM = 32
+ATOM = 64
 
 # The kinds of boundary, strongest first. A part begins with a rule, a MIME boundary or a forwarded header.
 KINDS = ["part", "paragraph", "line", "sentence", "word", "inside"]
@@ -52,13 +52,14 @@ def atoms(enc: Encoder, chunk: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     lead, lead_n = "", 0
     for word in enc.split(chunk):
-        ids = np.frombuffer(enc.words[word], "<i4")
-        if not (lead + word).strip():
-            lead, lead_n = lead + word, lead_n + len(ids)  # no cut among the blanks before
+        packed = enc.words[word]
+        if word.isspace() and not lead.strip():
+            lead, lead_n = lead + word, lead_n + len(packed) // 4  # no cut among the blanks before
             continue
-        if len(ids) <= ATOM:
-            parts = [(word, len(ids))]
+        if len(packed) <= 4 * ATOM:
+            parts = [(word, len(packed) // 4)]
         else:
+            ids = np.frombuffer(packed, "<i4")
             data, parts, held, n = word.encode("utf-8", "replace"), [], 0, 0
             ends = np.cumsum([enc.words.length[i] for i in ids.tolist()])
             for end in ends.tolist():
