@@ -3,7 +3,8 @@
 A low-discrepancy schedule: slot i of the mixture gets the point frac(i * golden ratio), and the source in whose stretch of the
 cumulative weights the point falls. A source's documents, shuffled, are one stream of tokens, begun anew when it is through; the
 r-th slot of a source takes the r-th block of the stream. All blocks have the same number of tokens, documents being cut where a
-block is full, so that the shares are those of the slots at any length, up to a few blocks.
+block is full, so that the shares are those of the slots at any length, up to a few blocks. A source too small for its share, even
+repeated as often as allowed, gets what it has; the shares reached are reported.
 """
 
 from __future__ import annotations
@@ -37,23 +38,33 @@ def stream(counted: DataFrame, seed: int = 7, bucket_rows: int = BUCKET_ROWS) ->
 
 
 def plan(streamed: DataFrame, target: DataFrame, block: int = BLOCK, total_tokens: int | None = None) -> DataFrame:
-    """source, target_share, weight, max_repeats, tokens, turns, slots, lo, hi: one row per source of ``target`` (source,
+    """source, target_share, weight, capped, max_repeats, tokens, turns, slots, lo, hi: one row per source of ``target`` (source,
     target_share, max_repeats).
 
-    weight is the share among the sources that have documents and may be used, 0 for the others; lo and hi bound the source's
-    stretch of the cumulative weights. turns is how many blocks max_repeats allows. slots is the length of the mixture: as long as
-    no source needs more turns than that, or ``total_tokens`` if that is less.
+    The mixture has ``total_tokens``, by default as many as the documents of the sources named. A source whose share of that is more
+    than max_repeats times its tokens is capped at these, and the others take over what it lacks in proportion to their shares; ask
+    for fewer tokens to have every share exact. weight is the share so planned, 0 for a source without documents; lo and hi bound
+    its stretch of the cumulative weights; turns is how many blocks its repeats allow, slots the length of the mixture in blocks.
     """
     have = streamed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     t = target.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")).join(have, "source", "left")
     t = t.withColumn("turns", F.coalesce(F.floor(F.col("tokens") * F.col("max_repeats") / block), F.lit(0)).cast("bigint"))
     every = Window.partitionBy(F.lit(0))  # some rows: one per source of the target list
-    share = F.when((F.col("turns") > 0) & (F.col("target_share") > 0), F.col("target_share")).otherwise(0.0)
-    t = t.withColumn("weight", F.coalesce(F.try_divide(share, F.sum(share).over(every)), F.lit(0.0)))
-    most = F.min(F.when(F.col("weight") > 0, F.col("turns") / F.col("weight"))).over(every)
-    slots = F.coalesce(F.floor(most if total_tokens is None else F.least(most, F.lit(total_tokens / block))), F.lit(0)).cast("bigint")
+    usable = (F.col("turns") > 0) & (F.col("target_share") > 0)
+    share, cap = F.when(usable, F.col("target_share")).otherwise(0.0), F.when(usable, F.col("turns")).otherwise(0)
+    total = F.coalesce(F.sum("tokens").over(every), F.lit(0)) / block if total_tokens is None else F.lit(total_tokens / block)
+    t = t.withColumns({"share": share, "cap": cap, "ratio": F.when(usable, cap / share), "total": total})
+    # Blocks per unit of share, if just the sources that run out earlier (in the order of ratio) are capped; the first level that its
+    # own source can follow is the one.
+    order = every.orderBy(F.col("ratio").asc_nulls_first(), "source")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    t = t.withColumn("level", F.try_divide(F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)), F.sum("share").over(after)))
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(every).getField("level")
+    t = t.withColumn("blocks", F.when(F.col("share") > 0, F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("share"), F.col("cap").cast("double")))).otherwise(0.0))
+    t = t.withColumns({"weight": F.coalesce(F.try_divide(F.col("blocks"), F.sum("blocks").over(every)), F.lit(0.0)), "slots": F.floor(F.sum("blocks").over(every)).cast("bigint")})
     hi = F.sum("weight").over(every.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumns({"slots": slots, "hi": hi}).select("source", "target_share", "weight", "max_repeats", "tokens", "turns", "slots", (F.col("hi") - F.col("weight")).alias("lo"), "hi")
+    capped = (F.col("blocks") >= F.col("cap")) & (F.col("share") > 0)
+    return t.withColumns({"hi": hi, "capped": capped}).select("source", "target_share", "weight", "capped", "max_repeats", "tokens", "turns", "slots", (F.col("hi") - F.col("weight")).alias("lo"), "hi")
 
 
 def schedule(planned: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -95,11 +106,11 @@ def mix(streamed: DataFrame, planned: DataFrame, block: int = BLOCK) -> DataFram
 
 
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
-    """source, target_share, weight, reached_share, mixed_tokens, tokens, repeats, max_repeats for every source of the target.
+    """source, target_share, weight, capped, reached_share, mixed_tokens, tokens, repeats, max_repeats for every source of the target.
 
     reached_share is of all tokens of the mixture, null if it is empty; repeats is how many times the source's tokens are used on
     average. A source without documents reaches 0: the others keep their proportions."""
     m = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
     t = planned.join(m, "source", "left").withColumns({"mixed_tokens": F.coalesce("mixed_tokens", F.lit(0)), "tokens": F.coalesce("tokens", F.lit(0))})
     reached = F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0))))
-    return t.select("source", "target_share", "weight", reached.alias("reached_share"), "mixed_tokens", "tokens", F.try_divide(F.col("mixed_tokens"), F.col("tokens")).alias("repeats"), "max_repeats")
+    return t.select("source", "target_share", "weight", "capped", reached.alias("reached_share"), "mixed_tokens", "tokens", F.try_divide(F.col("mixed_tokens"), F.col("tokens")).alias("repeats"), "max_repeats")
