@@ -71,7 +71,7 @@ def canonical_stress(c: Column) -> Column:
 
 def split_stress(c: Column) -> Column:
     """The distinct stresses of a text in order; empty for no stress."""
-    members = F.filter(F.transform(F.split(canonical_stress(c), ";"), F.trim), lambda s: (s != "") & (s != "none"))
+    members = F.filter(F.transform(F.split(canonical_stress(c), ";"), lambda v: F.trim(v)), lambda s: (s != "") & (s != "none"))
     return F.array_sort(F.array_distinct(members))
 
 

@@ -70,7 +70,7 @@ def is_leaky(name: Column) -> Column:
 
 def bounds_pairs(reactions: Column, bounds: Column) -> Column:
     """array of struct(reaction, bound) of two comma lists; empty if their lengths differ."""
-    r, b = F.transform(F.split(reactions, ","), F.trim), F.transform(F.split(bounds, ","), lambda x: F.trim(x).try_cast("double"))
+    r, b = F.transform(F.split(reactions, ","), lambda v: F.trim(v)), F.transform(F.split(bounds, ","), lambda x: F.trim(x).try_cast("double"))
     return F.when(F.size(r) == F.size(b), F.zip_with(r, b, lambda x, y: F.struct(x.alias("reaction"), y.alias("bound")))).otherwise(F.array().cast("array<struct<reaction:string,bound:double>>"))
 
 

@@ -18,7 +18,7 @@ def full_key(key: Column) -> Column:
     """The key if it has exactly four parts and each says something, else null. ``none`` (no stress, wild type) says something."""
     parts = F.split(key, r"\.", -1)
     known = F.forall(parts, lambda p: ~F.lower(F.trim(p)).isin(UNKNOWN_PART))
-    return F.when((F.size(parts) == 4) & known, F.array_join(F.transform(parts, F.trim), "."))
+    return F.when((F.size(parts) == 4) & known, F.array_join(F.transform(parts, lambda v: F.trim(v)), "."))
 
 
 def readings(cells: Column) -> Column:
