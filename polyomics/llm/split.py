@@ -53,9 +53,6 @@ def atoms(enc: Encoder, chunk: str) -> list[tuple[str, int, int]]:
     lead, lead_n = "", 0
     for word in enc.split(chunk):
         packed = enc.words[word]
-        if word.isspace() and not lead.strip():
-            lead, lead_n = lead + word, lead_n + len(packed) // 4  # no cut among the blanks before
-            continue
         if len(packed) <= 4 * ATOM:
             parts = [(word, len(packed) // 4)]
         else:
@@ -68,7 +65,11 @@ def atoms(enc: Encoder, chunk: str) -> list[tuple[str, int, int]]:
                 if whole and (n >= ATOM // 2 or end == len(data)):
                     parts.append((data[held:end].decode("utf-8"), n))
                     held, n = end, 0
+        blank = word.isspace()
         for k, (text, n) in enumerate(parts):
+            if blank and k == len(parts) - 1:
+                lead, lead_n = lead + text, lead_n + n  # the last blanks stay with what follows
+                continue
             ended = bool(out) and out[-1][2] >= 8 and k == 0
             out.append((lead + text, lead_n + n, (3 if ended else 5) + 8 * bool(SENTENCE_END.search(text))))
             lead, lead_n = "", 0
