@@ -78,7 +78,7 @@ def testable(conditions: DataFrame, attributes: list[str]) -> DataFrame:
     """The conditions each of whose attributes occurs in another one too. Counts are aggregated per value and joined back, so that a
     value most conditions share is no task of its own."""
     counts = [conditions.groupBy(a).agg(F.count("*").alias(f"_{a}")).where(F.col(f"_{a}") > 1).select(a) for a in attributes]
-    return reduce(lambda d, c: d.join(c, c.columns[0], "left_semi"), counts, conditions)
+    return reduce(lambda d, c: d.join(c, c.columns[0], "left_semi"), counts, conditions).select(conditions.columns)
 
 
 def fallback_mean(targets: DataFrame, long: DataFrame) -> DataFrame:
