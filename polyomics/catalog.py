@@ -113,8 +113,9 @@ def integrity(t: dict[str, DataFrame]) -> DataFrame:
 
 def perturbations(t: dict[str, DataFrame], key: str) -> DataFrame:
     """perturbation_id, gene, type of a condition; an unknown key is an error."""
-    known = t["condition"].where(F.col("condition_key") == key).agg(F.assert_true(F.count("*") > 0, F.lit(f"unknown condition {key}")).alias("ok"))
-    return t["condition_perturbation"].where(F.col("condition_key") == key).join(t["perturbation"], "perturbation_id").join(F.broadcast(known)).where("ok is null").select("perturbation_id", "gene", "type")
+    if t["condition"].where(F.col("condition_key") == key).isEmpty():
+        raise KeyError(key)
+    return t["condition_perturbation"].where(F.col("condition_key") == key).join(t["perturbation"], "perturbation_id").select("perturbation_id", "gene", "type")
 
 
 def growth_rates(t: dict[str, DataFrame]) -> DataFrame:

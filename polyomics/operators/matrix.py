@@ -105,8 +105,9 @@ def shared_genes(long: DataFrame, group: str, least: int = 1) -> DataFrame:
     """The cells of the genes that every group (platform, sample) has; an error if they are fewer than ``least``."""
     n = long.agg(F.count_distinct(group).alias("n"))
     genes = long.groupBy("molecule_id").agg(F.count_distinct(group).alias("k")).join(F.broadcast(n)).where("k = n").select("molecule_id")
-    enough = genes.agg(F.assert_true(F.count("*") >= least, F.lit(f"fewer than {least} shared genes")).alias("ok"))
-    return long.join(genes, "molecule_id", "left_semi").join(F.broadcast(enough)).where("ok is null").drop("ok")
+    if least and genes.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} shared genes")
+    return long.join(genes, "molecule_id", "left_semi")
 
 
 def top_variance(long: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -60,8 +60,8 @@ def test_fallback_and_variance(spark):
     top = matrix.top_variance(long_of(spark, [[1, 1, 1], [2, 3, 2]]), [], 2).collect()
     assert [(r["molecule_id"], r["rank"]) for r in top] == [(1, 1), (0, 2)]
     assert matrix.shared_genes(spark.createDataFrame([("p", 1), ("q", 1), ("p", 2)], "platform string, molecule_id int"), "platform").count() == 2
-    with pytest.raises(Exception, match="shared genes"):
-        matrix.shared_genes(spark.createDataFrame([("p", 1), ("q", 2)], "platform string, molecule_id int"), "platform").collect()
+    with pytest.raises(ValueError, match="shared genes"):
+        matrix.shared_genes(spark.createDataFrame([("p", 1), ("q", 2)], "platform string, molecule_id int"), "platform")
 
 
 def test_pearson_guards(spark):
