@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyomics.operators import stats
+
 OPTIMAL, TOL = 1e-9, 1e-9
 
 
@@ -207,3 +209,21 @@ def viable(predicted: DataFrame, by: list[str]) -> DataFrame:
     """``by``, viable: whether at least half of the conditions have biomass above 1e-6."""
     one = predicted.groupBy(*by, "condition_key").agg(F.max("biomass").alias("b"))
     return one.groupBy(*by).agg((F.avg((F.coalesce("b", F.lit(0.0)) > 1e-6).cast("int")) >= 0.5).alias("viable"))
+
+
+def threshold_sweep(bounds: DataFrame, levels: DataFrame, stoichiometry: DataFrame, goal: str, thresholds: list[float], measured: DataFrame) -> DataFrame:
+    """threshold, viable, pcc, best: fluxes with expression bounds at each threshold against ``measured`` (condition_key, reaction, flux).
+
+    A threshold that leaves fewer than half of the conditions growing is not viable; best marks the viable one with the largest mean
+    correlation per condition, ties to the smaller. All thresholds are one job: they are part of the condition's key."""
+    t = bounds.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
+    b = bounds.join(levels, ["condition_key", "reaction"], "left").join(F.broadcast(t))
+    tagged = F.concat_ws("|", F.col("threshold").cast("string"), "condition_key")
+    b = b.select(tagged.alias("condition_key"), "reaction", F.least(F.when(F.col("level").isNull(), F.col("lb")).when(F.col("level") <= F.col("threshold"), 0.0).otherwise(F.least("lb", F.lit(0.0))), F.col("ub")).alias("lb"), "ub")
+    p = predict(b, stoichiometry, goal)
+    p = p.select(F.split_part("condition_key", F.lit("|"), F.lit(1)).cast("double").alias("threshold"), F.expr("substring(condition_key, instr(condition_key, '|') + 1)").alias("condition_key"), "reaction", "flux", "biomass")
+    pairs = p.join(measured.select("condition_key", "reaction", F.col("flux").alias("y")), ["condition_key", "reaction"]).withColumnRenamed("flux", "y_hat")
+    score = stats.pcc_by(pairs, "condition_key", "threshold").groupBy("threshold").agg(F.avg("pcc").alias("pcc"))
+    s = viable(p, ["threshold"]).join(score, "threshold", "left")
+    top = s.where("viable").agg(F.max_by("threshold", F.struct("pcc", -F.col("threshold"))).alias("top"))
+    return s.join(F.broadcast(top)).select("threshold", "viable", "pcc", F.coalesce(F.col("threshold") == F.col("top"), F.lit(False)).alias("best"))

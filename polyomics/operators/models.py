@@ -117,6 +117,58 @@ def neighbour_lasso(features: DataFrame, targets: DataFrame, edges: DataFrame, f
     return rows.groupBy("arm", "fold", "target").applyInPandas(one, f"arm string, fold {dict(fold.dtypes)['fold']}, condition_key string, target {kind}, y double, y_hat double, error string")
 
 
+def coefficients(features: DataFrame, targets: DataFrame, edges: DataFrame, alpha: float | None = None) -> DataFrame:
+    """arm, target, feature, coefficient: the non-zero coefficients on scaled features of each target's fit over all conditions."""
+    f = features.select("condition_key", F.col("molecule_id").alias("feature"), F.col("value").alias("x"))
+    x = edges.select("arm", "target", "feature").distinct().join(f, "feature").groupBy("arm", "target", "condition_key").agg(F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("x"))
+    rows = x.join(targets.select("condition_key", F.col("molecule_id").alias("target"), F.col("value").alias("y")), ["condition_key", "target"])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[np.isfinite(pdf["y"].to_numpy(float))].sort_values("condition_key")
+        if len(pdf) < 3:
+            return pd.DataFrame()
+        names = sorted({k for m in pdf["x"] for k in m})
+        m = np.nan_to_num(np.array([[r.get(k) if r.get(k) is not None else 0.0 for k in names] for r in pdf["x"]], float))
+        b, _, error = fit_lasso(m, pdf["y"].to_numpy(float), alpha)
+        out = pd.DataFrame({"arm": pdf["arm"].iloc[0], "target": pdf["target"].iloc[0], "feature": names, "coefficient": b})
+        return out[(out["coefficient"] != 0) & (error is None)]
+
+    t = dict(targets.dtypes)["molecule_id"]
+    return rows.groupBy("arm", "target").applyInPandas(one, f"arm string, target {t}, feature {dict(features.dtypes)['molecule_id']}, coefficient double")
+
+
+def metabolite_edges(targets: DataFrame, measured: DataFrame, enzymes: DataFrame | None, arm: str) -> DataFrame:
+    """arm, target, feature: each metabolite with its measured enzymes; with all measured molecules where it has none, or without a
+    map. ``targets``: target; ``measured``: molecule_id; ``enzymes``: metabolite, enzyme. Both sides are axes, not data."""
+    m = measured.select(F.col("molecule_id").alias("feature")).distinct()
+    t = targets.select("target").distinct()
+    if enzymes is None:
+        return t.join(F.broadcast(m)).select(F.lit(arm).alias("arm"), "target", "feature")
+    own = enzymes.select(F.col("metabolite").alias("target"), F.col("enzyme").alias("feature")).distinct().join(m, "feature", "left_semi").join(t, "target", "left_semi")
+    free = t.join(own, "target", "left_anti").join(F.broadcast(m))
+    return own.select("target", "feature").unionByName(free.select("target", "feature")).select(F.lit(arm).alias("arm"), "target", "feature")
+
+
+def starting_profiles(long: DataFrame, conditions: DataFrame, strategy: str) -> DataFrame:
+    """condition_key, molecule_id, value: the state a prediction starts from. ``non_specific``: the mean of the wild-type profiles;
+    ``specific``: that of the profiles with the condition's strain and medium; ``same_batch``: that of its own key. Where a strategy finds
+    nothing the mean of all profiles serves. ``conditions``: condition_key; ``long`` are training rows only."""
+    part = lambda k: F.split_part("condition_key", F.lit("."), F.lit(k))
+    keys = conditions.select("condition_key").distinct().withColumn("place", F.concat_ws(".", part(1), part(2)))
+    rows = long.withColumn("place", F.concat_ws(".", part(1), part(2)))
+    mean = F.avg("value").alias("own")
+    if strategy == "non_specific":
+        own = keys.join(F.broadcast(rows.where(part(4) == "none").groupBy("molecule_id").agg(mean)))
+    elif strategy == "specific":
+        own = keys.join(rows.groupBy("place", "molecule_id").agg(mean), "place")
+    elif strategy == "same_batch":
+        own = keys.join(rows.groupBy("condition_key", "molecule_id").agg(mean), "condition_key")
+    else:
+        raise ValueError(strategy)
+    grid = keys.join(F.broadcast(long.groupBy("molecule_id").agg(F.avg("value").alias("every"))))
+    return grid.join(own.select("condition_key", "molecule_id", "own"), ["condition_key", "molecule_id"], "left").select("condition_key", "molecule_id", F.coalesce("own", "every").alias("value"))
+
+
 def consensus_weights(vectors: DataFrame, fold: DataFrame, inner: int = 3, seed: int = 0) -> DataFrame:
     """fold, layer, weight, condition_key, y, y_hat: per outer fold the layers' predictions of its conditions with their weights.
 

@@ -45,3 +45,8 @@ def neighbours(targets: DataFrame, edges: DataFrame, measured: DataFrame) -> Dat
     """arm, target, feature: the measured neighbours of each target in each arm."""
     e = edges.select("arm", F.col("src").alias("target"), F.col("dst").alias("feature"))
     return e.join(targets.select("target").distinct(), "target", "left_semi").join(measured.select(F.col("molecule_id").alias("feature")).distinct(), "feature", "left_semi").distinct()
+
+
+def regulators(sheet: DataFrame) -> DataFrame:
+    """molecule_id: the transcription factors of a regulatory sheet (a, b), that is the loci in its first column."""
+    return sheet.where(r"a rlike '^b\\d{4}$'").select(F.col("a").alias("molecule_id")).distinct()

@@ -47,12 +47,14 @@ class Relaxation:
             dy = dz @ u @ v.T
         return float((d**2).sum() / n), grads
 
-    def fit(self, x: np.ndarray, t: np.ndarray, y0: np.ndarray | None = None) -> Relaxation:
+    def fit(self, x: np.ndarray, t: np.ndarray, y0: np.ndarray | None = None, factors: tuple[np.ndarray, np.ndarray] | None = None) -> Relaxation:
         rng = np.random.default_rng(self.seed)
         genes, mean = t.shape[1], np.nan_to_num(np.nanmean(t, 0), nan=0.5)
         self.y0 = mean if y0 is None else np.nan_to_num(y0)
         p = np.clip(mean, 1e-3, 1 - 1e-3)
         self.w = [rng.normal(0, 0.05, (genes, x.shape[1])), rng.normal(0, 0.05, (genes, self.rank)), rng.normal(0, 0.05, (genes, self.rank)), np.log(p / (1 - p))]
+        if factors is not None:
+            self.w[1], self.w[2] = (f.copy() for f in factors)
         order = rng.permutation(len(x))
         held = max(1, int(self.part * len(x))) if self.part > 0 and len(x) > 3 else 0
         val, train = order[:held] if held else order, order[held:]
@@ -94,6 +96,18 @@ class Relaxation:
         return np.flatnonzero(np.abs(self.predict(x) - self.predict(x, [source])).ravel() > tol)
 
 
+def seed_factors(edges: list[tuple[int, int]], genes: int, rank: int, scale: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """U, V of the best approximation of that rank to the adjacency target x regulator of a network; no edge is an error."""
+    a = np.zeros((genes, genes))
+    for regulator, target in edges:
+        a[target, regulator] = 1.0
+    if not a.any():
+        raise ValueError("the network has no edge among the genes")
+    u, s, v = np.linalg.svd(a)
+    root = np.sqrt(s[:rank] * scale)
+    return u[:, :rank] * root, v[:rank].T * root
+
+
 def fold_function(**settings):
     """A fit_predict for :func:`polyomics.operators.cv.run`: targets are scaled by the training cells' 99.9th percentile and clipped to
     [0, 1], and predictions scaled back."""

@@ -49,4 +49,19 @@ def p4_media(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_quantities": p1_quantities, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_strains": p4_strains, "p4_media": p4_media}
-SQL: dict[str, str] = {}
+
+_UNKNOWN = ", ".join(f"'{u}'" for u in impute.UNKNOWN_PART)
+_MISSING = ", ".join(str(m) for m in impute.NO_READING)
+#: The same by windows and lists, for one machine.
+SQL: dict[str, str] = {
+    "p3_found": f"""WITH m AS (SELECT DISTINCT ON (profile_id) profile_id, layer, run_id, condition_key, cell_values FROM layer_matrix ORDER BY profile_id, loaded_at),
+k AS (SELECT *, CASE WHEN len(string_split(condition_key, '.')) = 4 AND len(list_filter(string_split(condition_key, '.'), lambda p: lower(trim(p)) IN ({_UNKNOWN}))) = 0 THEN trim(condition_key) END AS own,
+list_transform(cell_values, lambda v: CASE WHEN isfinite(v) AND v NOT IN ({_MISSING}) THEN v END) AS v FROM m),
+r AS (SELECT *, len(list_filter(v, lambda x: x <> 0)) > 0 AS live FROM k),
+n AS (SELECT layer, run_id, own, count(*) AS n FROM r WHERE own IS NOT NULL AND run_id IS NOT NULL GROUP BY ALL), b AS (SELECT DISTINCT ON (layer, run_id) layer, run_id, own AS mode FROM n ORDER BY layer, run_id, n DESC, own),
+f AS (SELECT r.*, coalesce(own, mode) AS key FROM r LEFT JOIN b USING (layer, run_id)),
+c AS (SELECT profile_id, layer, key, molecule_id, CASE WHEN live THEN v[idx + 1] END AS x FROM f JOIN layer_axis USING (layer)),
+h AS (SELECT layer, key, molecule_id, count(x) AS h FROM c WHERE key IS NOT NULL GROUP BY ALL)
+SELECT profile_id, 'condition_key' AS field_name, coalesce(key, 'unfilled') AS outcome FROM f WHERE own IS NULL
+UNION ALL SELECT profile_id, molecule_id, CASE WHEN coalesce(h, 0) > 0 THEN 'filled' ELSE 'unfilled' END FROM c LEFT JOIN h USING (layer, key, molecule_id) WHERE x IS NULL""",
+}

@@ -336,3 +336,35 @@ def test_reports(spark):
     assert {r["name"]: r["holds"] for r in c.collect()} == {"a": True, "b": False}
     v = spark.createDataFrame([(None,), (0.1,), (0.5,), (0.9,)], "x double").select(report.verdict(F.col("x"), F.lit(0.3), F.lit(0.7)))
     assert [r[0] for r in v.collect()] == [None, "below", "within", "above"]
+
+
+def test_more_of_the_models(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(20, 3))
+    feats = spark.createDataFrame([(f"c{i}", f"g{j}", float(x[i, j])) for i in range(20) for j in range(3)], "condition_key string, molecule_id string, value double")
+    y = spark.createDataFrame([(f"c{i}", "t", float(3 * x[i, 1])) for i in range(20)], "condition_key string, molecule_id string, value double")
+    targets = spark.createDataFrame([("t",), ("u",)], "target string")
+    edges = models.metabolite_edges(targets, feats, spark.createDataFrame([("t", "g1"), ("t", "gone"), ("x", "g2")], "metabolite string, enzyme string"), "enzymes")
+    assert {(r["target"], r["feature"]) for r in edges.collect()} == {("t", "g1"), ("u", "g0"), ("u", "g1"), ("u", "g2")}
+    every = models.metabolite_edges(targets, feats, None, "all")
+    c = {r["feature"]: r["coefficient"] for r in models.coefficients(feats, y, every, 0.01).collect()}
+    assert max(c, key=lambda k: abs(c[k])) == "g1" and c["g1"] > 0
+    long = spark.createDataFrame([("S.M.x.none", "b", 1.0), ("S.M.x.b1(KO)", "b", 3.0), ("T.M.x.b1(KO)", "b", 8.0)], "condition_key string, molecule_id string, value double")
+    want = {"non_specific": 1.0, "specific": 2.0, "same_batch": 3.0}
+    for strategy, v in want.items():
+        got = {r["condition_key"]: r["value"] for r in models.starting_profiles(long, spark.createDataFrame([("S.M.x.b1(KO)",), ("Q.Q.Q.Q",)], "condition_key string"), strategy).collect()}
+        assert got["S.M.x.b1(KO)"] == v and got["Q.Q.Q.Q"] == (1.0 if strategy == "non_specific" else 4.0)
+    u, v = relaxation.seed_factors([(0, 1), (0, 2)], 3, 1, 1.0)
+    np.testing.assert_allclose(u @ v.T, [[0, 0, 0], [1, 0, 0], [1, 0, 0]], atol=1e-9)
+    with pytest.raises(ValueError, match="no edge"):
+        relaxation.seed_factors([], 3, 1)
+
+
+def test_threshold_sweep(spark):
+    model = spark.createDataFrame(MODEL, "metabolite string, reaction string, coefficient double")
+    base = {"EX_a": (-10.0, 10.0), "R1": (-5.0, 4.0), "R2": (-100.0, 100.0), "R3": (-100.0, 100.0), "BIO": (0.0, 100.0)}
+    bounds = spark.createDataFrame([(k, r, lo, hi) for k in ("c1", "c2") for r, (lo, hi) in base.items()], "condition_key string, reaction string, lb double, ub double")
+    levels = spark.createDataFrame([("c1", "R1", 0.5), ("c2", "R1", 0.01)], "condition_key string, reaction string, level double")
+    truth = spark.createDataFrame([(k, r, float(i)) for k in ("c1", "c2") for i, r in enumerate(base)], "condition_key string, reaction string, flux double")
+    s = flux.threshold_sweep(bounds, levels, model, "BIO", [0.0, 0.1], truth).orderBy("threshold").collect()
+    assert [r["threshold"] for r in s] == [0.0, 0.1] and all(r["viable"] for r in s) and sum(r["best"] for r in s) == 1
