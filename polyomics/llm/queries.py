@@ -69,4 +69,31 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
-SQL: dict[str, str] = {}
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_PLAIN = r"lower(regexp_replace(coalesce({}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+_MEMBER = f"""CASE WHEN regexp_matches(m, '{dedup.TYPE_LAST}') THEN [regexp_extract(m, '{dedup.TYPE_LAST}', 1), regexp_extract(m, '{dedup.TYPE_LAST}', 2)]
+WHEN regexp_matches(m, '{dedup.TYPE_FIRST}') THEN [regexp_extract(m, '{dedup.TYPE_FIRST}', 2), regexp_extract(m, '{dedup.TYPE_FIRST}', 1)] ELSE [m, 'ex'] END"""
+_PAIR = f"CASE WHEN {_PLAIN.format('p[1]')} IN ({_quoted(dedup.WILD_TYPE)}) THEN '' ELSE {_PLAIN.format('p[1]')} || '|' || {_PLAIN.format('p[2]')} END"
+
+
+def _set(column: str, split: str, each: str, nothing: list[str]) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter({each.format(f'regexp_split_to_array(coalesce({column}, {chr(39)}{chr(39)}), {chr(39)}{split}{chr(39)})')}, lambda w: w NOT IN ({_quoted(nothing)})))), ';')"
+
+
+_STRESSES = _set("stress", "[;,|+/]", f"list_transform({{}}, lambda m: {_PLAIN.format('m').replace('{', '{{').replace('}', '}}')})", dedup.NO_STRESS)
+_GENES = _set("gp", "[;,|+]", f"list_transform(list_transform({{}}, lambda m: {_MEMBER.replace('{', '{{').replace('}', '}}')}), lambda p: {_PAIR.replace('{', '{{').replace('}', '}}')})", dedup.WILD_TYPE)
+_PART = "CASE WHEN cond IS NOT NULL THEN string_split(cond, '.')[{}] ELSE {} END AS {}"
+_CANON = f"""WITH r AS (SELECT record_id AS id, {_PART.format(1, 'strain', 's')}, {_PART.format(2, 'medium_id', 'm')}, {_PART.format(3, 'stress', 'stress')}, {_PART.format(4, 'gp', 'gp')}
+FROM condition_raw WHERE cond IS NULL OR len(string_split(cond, '.')) = 4),
+c AS (SELECT 'condition_raw' AS record_table, id, concat({_PLAIN.format('s')}, chr(10), {_PLAIN.format('m')}, chr(10), {_STRESSES}, chr(10), {_GENES}) AS canon FROM r
+UNION ALL SELECT 'perturbation', pert_id, concat({_PLAIN.format('study_id')}, chr(10), array_to_string(list_sort([{_PLAIN.format('gene')}, {_PLAIN.format('type')}]), '|')) FROM perturbation)"""
+#: The same by windows over whole groups, for one machine.
+SQL: dict[str, str] = {
+    "p5_found": f"{_CANON} SELECT record_table, keep_id, id AS copy_id FROM (SELECT *, min(id) OVER (PARTITION BY record_table, canon) AS keep_id FROM c) WHERE id > keep_id",
+    "p5_groups": f"{_CANON} SELECT record_table, min(id) AS keep_id, count(*) AS copies FROM c GROUP BY record_table, canon",
+}
