@@ -23,35 +23,34 @@ def quantities(spark, rows, media=()):
     return units.quantities(c, spark.createDataFrame(list(media), M), spark.createDataFrame(REFERENCE, R))
 
 
-@pytest.mark.parametrize(
-    ("component", "raw", "amount", "unit", "value"),
-    [
-        ("Glucose", "1.8 g/L", None, None, 10.0), ("GLUCOSE ", "10mM", None, None, 10.0), ("Glucose", "low( 10000 µmol/l )", None, None, 10.0),
-        ("Glucose", "0,18%", None, None, 10.0), ("Glucose", "0.18% (w/v)", None, None, 10.0), ("Glucose", "1 800 mg l-1", None, None, 10.0),
-        ("Glucose", "1.8x10^3 mg per liter", None, None, 10.0), ("Glucose", "1.8 × 10^0 g/l", None, None, 10.0), ("Glucose", "1.8E+00G/L", None, None, 10.0),
-        ("Glucose", "450 mg in 250 mL", None, None, 10.0), ("Glucose", "3.6 g / 2 L", None, None, 10.0), ("Glucose", "ca. .18 g/100 ml, sterile", None, None, 10.0),
-        ("Glucose", "final conc. 10mM [added after 2 h]", None, None, 10.0), ("Glucose", "10 mM (pH 7)", None, None, 10.0), ("Glucose", "10mM final", None, None, 10.0),
-        ("Glucose", "10", None, "millimolar", 10.0), ("Glucose", None, 10.0, "mM", 10.0), ("Glucose", " ", 10.0, "mM", 10.0), ("Glucose", "10mM", 99.0, "g/L", 10.0),
-        ("Ethanol", "1% v/v", None, None, 8 / 46 * 1000), ("Ethanol", "1 % (vol/vol)", None, None, 8 / 46 * 1000), ("Agar", "1.5 percent", None, None, 15.0),
-        ("Glucose", "0", None, "mM", 0.0),
-    ],
-)
-def test_converted(spark, component, raw, amount, unit, value):
-    r = quantities(spark, [("M1", component, raw, amount, unit)]).collect()[0]
-    assert r["outcome"] == "converted" and math.isclose(r["value"], value, rel_tol=1e-9, abs_tol=1e-12)
-
-
-@pytest.mark.parametrize(
-    ("component", "raw", "amount", "unit", "outcome"),
-    [
-        ("Glucose", "?", None, None, "no_number"), ("Glucose", "1x", 1.0, "x", "unknown_unit"), ("Glucose", "trace", None, None, "no_number"), ("Glucose", None, None, None, "no_number"),
-        ("Glucose", "10", None, None, "no_unit"), ("Glucose", None, 10.0, None, "no_unit"), ("Agar", "5 mM", None, None, "unknown_unit"), ("Glucose", "5% v/v", None, None, "unknown_unit"),
-        ("What", "5 mM", None, None, "unknown_component"), (None, "5 mM", None, None, "unknown_component"), ("Glucose", "x" * 50_000, None, None, "no_number"), ("Glucose", "5 drops", None, None, "unknown_unit"),
-    ],
-)
-def test_not_converted(spark, component, raw, amount, unit, outcome):
-    r = quantities(spark, [("M1", component, raw, amount, unit)]).collect()[0]
-    assert r["outcome"] == outcome and r["value"] is None
+CONVERTED = [
+    ("Glucose", "1.8 g/L", None, None, 10.0), ("GLUCOSE ", "10mM", None, None, 10.0), ("Glucose", "low( 10000 µmol/l )", None, None, 10.0),
+    ("Glucose", "0,18%", None, None, 10.0), ("Glucose", "0.18% (w/v)", None, None, 10.0), ("Glucose", "1 800 mg l-1", None, None, 10.0),
+    ("Glucose", "1.8x10^3 mg per liter", None, None, 10.0), ("Glucose", "1.8 × 10^0 g/l", None, None, 10.0), ("Glucose", "1.8E+00G/L", None, None, 10.0),
+    ("Glucose", "450 mg in 250 mL", None, None, 10.0), ("Glucose", "3.6 g / 2 L", None, None, 10.0), ("Glucose", "ca. .18 g/100 ml, sterile", None, None, 10.0),
+    ("Glucose", "final conc. 10mM [added after 2 h]", None, None, 10.0), ("Glucose", "10 mM (pH 7)", None, None, 10.0), ("Glucose", "10mM final", None, None, 10.0),
+    ("Glucose", "10", None, "millimolar", 10.0), ("Glucose", None, 10.0, "mM", 10.0), ("Glucose", " ", 10.0, "mM", 10.0), ("Glucose", "10mM", 99.0, "g/L", 10.0),
+    ("Ethanol", "1% v/v", None, None, 8 / 46 * 1000), ("Ethanol", "1 % (vol/vol)", None, None, 8 / 46 * 1000), ("Agar", "1.5 percent", None, None, 15.0),
+    ("Glucose", "0", None, "mM", 0.0),
+]
+NOT_CONVERTED = [
+    ("Glucose", "?", None, None, "no_number"), ("Glucose", "1x", 1.0, "x", "unknown_unit"), ("Glucose", "trace", None, None, "no_number"), ("Glucose", None, None, None, "no_number"),
+    ("Glucose", "10", None, None, "no_unit"), ("Glucose", None, 10.0, None, "no_unit"), ("Agar", "5 mM", None, None, "unknown_unit"), ("Glucose", "5% v/v", None, None, "unknown_unit"),
+    ("What", "5 mM", None, None, "unknown_component"), (None, "5 mM", None, None, "unknown_component"), ("Glucose", "x" * 50_000, None, None, "no_number"), ("Glucose", "5 drops", None, None, "unknown_unit"),
+]
+
+
+def test_converted(spark):
+    got = {r["mc_id"]: r for r in quantities(spark, [("M1", *c[:4]) for c in CONVERTED]).collect()}
+    assert len(got) == len(CONVERTED)
+    for i, case in enumerate(CONVERTED):
+        assert got[i]["outcome"] == "converted" and math.isclose(got[i]["value"], case[4], rel_tol=1e-9, abs_tol=1e-12), (case, got[i])
+
+
+def test_not_converted(spark):
+    got = {r["mc_id"]: r for r in quantities(spark, [("M1", *c[:4]) for c in NOT_CONVERTED]).collect()}
+    for i, case in enumerate(NOT_CONVERTED):
+        assert got[i]["outcome"] == case[4] and got[i]["value"] is None, (case, got[i])
 
 
 def test_statement_of_the_medium(spark):
@@ -165,18 +164,19 @@ def cells(spark, rows):
     return m, {(x["entity"], a): (c["value"], c["outcome"]) for x in m.collect() for a, c in x["cells"].items()}
 
 
-@pytest.mark.parametrize(
-    ("feature", "value", "text"),
-    [
-        ("ampR", " Yes ", "true"), ("ampR", "+", "true"), ("ampR", "-", "false"), ("ampR", "none", "false"), ("ampR", "maybe", None), ("ampR", "2 of 3", None),
-        ("count_no", "7'570", "7570"), ("count_no", "1,435", "1435"), ("count_no", "7 353 bp", "7353"), ("count_no", "044", "44"), ("count_no", "38.0", "38"), ("count_no", "3.5", None), ("count_no", "10x", None),
-        ("count_no", "12-15", None), ("count_no", "+23", "23"), ("count_no", "5 Mb", None), ("size", "83,68", "83.68"), ("size", "9.014000e+01", "90.14"), ("size", "~5.1 Mb", "5.1"), ("size", "= 2.93Mb", "2.93"), ("size", "1.2.3", None), ("size", "fast (>2x)", None),
-        ("size", "1,234.5", "1234.5"), ("kind", " F+ ", "f+"), ("made_on", "2005-05-28", "2005-05-28"), ("made_on", "20130809", "2013-08-09"), ("made_on", "5.3.2014", "2014-03-05"), ("made_on", "2 Dec 2002", "2002-12-02"),
-        ("made_on", "Jun 20, 2018", "2018-06-20"), ("made_on", "12-JAN-2002", "2002-01-12"), ("made_on", "31.04.2012", None), ("made_on", "12/2014", None), ("made_on", "2019-13-04", None), ("made_on", "29.2.2012", "2012-02-29"),
-    ],
-)
-def test_typed(spark, feature, value, text):
-    assert cells(spark, [("S1", feature, value)])[1]["S1", feature] == (text, "value" if text else "unreadable")
+TYPED = [
+    ("ampR", " Yes ", "true"), ("ampR", "+", "true"), ("ampR", "-", "false"), ("ampR", "none", "false"), ("ampR", "maybe", None), ("ampR", "2 of 3", None),
+    ("count_no", "7'570", "7570"), ("count_no", "1,435", "1435"), ("count_no", "7 353 bp", "7353"), ("count_no", "044", "44"), ("count_no", "38.0", "38"), ("count_no", "3.5", None), ("count_no", "10x", None),
+    ("count_no", "12-15", None), ("count_no", "+23", "23"), ("count_no", "5 Mb", None), ("size", "83,68", "83.68"), ("size", "9.014000e+01", "90.14"), ("size", "~5.1 Mb", "5.1"), ("size", "= 2.93Mb", "2.93"), ("size", "1.2.3", None), ("size", "fast (>2x)", None),
+    ("size", "1,234.5", "1234.5"), ("kind", " F+ ", "f+"), ("made_on", "2005-05-28", "2005-05-28"), ("made_on", "20130809", "2013-08-09"), ("made_on", "5.3.2014", "2014-03-05"), ("made_on", "2 Dec 2002", "2002-12-02"),
+    ("made_on", "Jun 20, 2018", "2018-06-20"), ("made_on", "12-JAN-2002", "2002-01-12"), ("made_on", "31.04.2012", None), ("made_on", "12/2014", None), ("made_on", "2019-13-04", None), ("made_on", "29.2.2012", "2012-02-29"),
+]
+
+
+def test_typed(spark):
+    _, got = cells(spark, [(f"S{i}", feature, value) for i, (feature, value, _) in enumerate(TYPED)])
+    for i, (feature, value, text) in enumerate(TYPED):
+        assert got[f"S{i}", feature] == (text, "value" if text else "unreadable"), value
 
 
 def test_cells(spark):
