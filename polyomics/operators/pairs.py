@@ -43,11 +43,14 @@ def pair_sums(vectors: DataFrame, by: list[str] | None = None) -> DataFrame:
     return partial.groupBy(*by, "i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
 
 
-def coexpression(vectors: DataFrame, least: float = 0.7, by: list[str] | None = None) -> DataFrame:
+def coexpression(vectors: DataFrame, least: float = 0.7, by: list[str] | None = None, complete: bool = False) -> DataFrame:
     """``by``, i, j, r: pairs of positions whose correlation is above ``least`` (signed), from at least three common profiles, neither
-    side constant over them."""
+    side constant over them. ``complete``: only positions that every profile has a reading of."""
     by = by or []
     p = pair_sums(vectors, by).where("n >= 3")
+    if complete:
+        total = vectors.where("values is not null").groupBy(*by).agg(F.count("*").alias("all"))
+        p = (p.join(F.broadcast(total), by) if by else p.join(F.broadcast(total))).where("n = all")
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     sound = (vx / F.col("n") > 1e-18) & (vy / F.col("n") > 1e-18)
     r = F.when(sound, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(vx * vy)))))

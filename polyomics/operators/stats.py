@@ -162,6 +162,21 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, by: li
     return df.where((x >= lo) & (x <= hi)).groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def grid(df: DataFrame, x: str, y: str, cell: float, by: list[str]) -> DataFrame:
+    """gx, gy, n: how many rows fall into each square of side ``cell``; rows where either is missing count nowhere."""
+    at = lambda c: F.floor(F.col(c) / cell).cast("bigint")
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, at(x).alias("gx"), at(y).alias("gy")).agg(F.count("*").alias("n"))
+
+
+def ablation(predictions: DataFrame, sets: dict[str, list[str]], by: list[str]) -> DataFrame:
+    """variant and the metrics of :func:`evaluate` of the mean over each named set of arms, leaky ones where a set names them.
+    ``predictions``: arm, ``by`` (with profile_id, molecule_id, condition_key), y, y_hat. The sets are some names, hence broadcast; one pass
+    serves all variants."""
+    s = predictions.sparkSession.createDataFrame([(v, a) for v, arms in sets.items() for a in arms], "variant string, arm string")
+    mean = predictions.join(F.broadcast(s), "arm").groupBy("variant", *by).agg(F.max("y").alias("y"), F.avg("y_hat").alias("y_hat"))
+    return evaluate(mean, ["variant"], F.count_distinct("condition_key"))
+
+
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """value and share of rows at most it. Equal values are counted first; the window runs over distinct values."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))

@@ -422,3 +422,8 @@ def quantity_ecdf(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {b.LAYERS} SELECT layer, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(1 - count(value) / count(*), 6) AS missing FROM l GROUP BY 1")
 def step_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return stats.diagnostics(b.layers(spark, d), ["layer"], F.count("*")).select("layer", *[r6(c).alias(c) for c in ("median", "q1", "q3", "missing")])
+
+
+@query(f"{_LOCO} SELECT CAST(floor(y / 0.05) AS BIGINT) AS gx, CAST(floor(y_hat / 0.05) AS BIGINT) AS gy, count(*) AS n FROM p GROUP BY 1, 2")
+def calibration_grid(spark: SparkSession, d: str) -> DataFrame:
+    return stats.grid(_loco(spark, d), "y", "y_hat", 0.05, [])

@@ -107,6 +107,14 @@ def lasso_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return p.select("arm", "fold", "condition_key", "target", r6("y").alias("y"), F.round("y_hat", 4).alias("y_hat"), "error")
 
 
+@query
+def network_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """The mean over the honest arm, and with the leaky one, from the neighbour LASSO."""
+    p = lasso_neighbours(spark, d).select("arm", "fold", F.col("condition_key"), F.col("condition_key").alias("profile_id"), F.col("target").alias("molecule_id"), "y", "y_hat")
+    m = stats.ablation(p, {"honest": ["cpn"], "with_leak": ["cpn", "odd_LEAKY"]}, ["profile_id", "condition_key", "molecule_id"])
+    return m.select("variant", "axis", *[F.round(c, 3).alias(c) for c in ("mean", "sd", "rmse")], "n", "n_conditions", "shown")
+
+
 @query
 def phenome_consensus(spark: SparkSession, d: str) -> DataFrame:
     """The first dimension of 40 groups of vectors from two layers of the others, with weights from an inner split."""

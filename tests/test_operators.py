@@ -223,6 +223,17 @@ def test_coexpression(spark):
     assert set(got) == {(0, 1)} and math.isclose(got[0, 1], np.corrcoef(x[:, 0], x[:, 1])[0, 1], abs_tol=1e-9)
 
 
+def test_complete_columns_and_grid(spark):
+    x = np.array([[1.0, 2, 1], [2, 4, 2], [3, 6, np.nan], [4, 8, 4]])
+    assert {(r["i"], r["j"]) for r in pairs.coexpression(vectors_of(spark, x)).collect()} == {(0, 1), (0, 2), (1, 2)}
+    assert {(r["i"], r["j"]) for r in pairs.coexpression(vectors_of(spark, x), complete=True).collect()} == {(0, 1)}
+    g = spark.createDataFrame([(0.1, 0.9), (0.2, 0.8), (-0.1, 0.0), (None, 1.0)], "x double, y double")
+    assert sorted(tuple(r) for r in stats.grid(g, "x", "y", 0.5, []).collect()) == [(-1, 0, 1), (0, 1, 2)]
+    p = spark.createDataFrame([(a, i, f"c{i}", j, float(i * j), h) for i in range(3) for j in range(3) for a, h in (("a", float(i * j)), ("b_LEAKY", 0.0))], "arm string, profile_id int, condition_key string, molecule_id int, y double, y_hat double")
+    m = stats.ablation(p, {"one": ["a"], "both": ["a", "b_LEAKY"]}, ["profile_id", "condition_key", "molecule_id"]).where("axis = 'profile'").collect()
+    assert {r["variant"]: round(r["slope"], 6) for r in m} == {"one": 1.0, "both": 2.0}
+
+
 def test_networks(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("a", "c"), (None, "a"), ("c", None)], "src string, dst string")
     s = networks.symmetric(e)
