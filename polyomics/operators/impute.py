@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyomics.operators.skew import join_groups
+
 # Parts of a condition key that say nothing, and readings instruments write for "no reading".
 UNKNOWN_PART = ["", "?", "n/d", "nd", "na", "n/a", "nan", "null", "unknown", "unk", "tbd"]
 NO_READING = [-999.0, -9999.0, -99999.0, -999999.0]
@@ -38,15 +40,15 @@ def fill_keys(matrix: DataFrame) -> DataFrame:
     """
     p = matrix.where("profile_id is not null").dropDuplicates(["profile_id"]).select("profile_id", "layer", "run_id", full_key(F.col("condition_key")).alias("_own"), readings(F.col("cell_values")).alias("values"))
     counts = p.where("_own is not null and run_id is not null").groupBy("layer", "run_id", "_own").agg(F.count("*").alias("n"))
-    mode = counts.groupBy("layer", "run_id").agg(F.min(F.struct(-F.col("n"), F.col("_own"))).getField("_own").alias("_mode"))
-    p = p.join(mode, ["layer", "run_id"], "left")
+    mode = counts.groupBy("layer", "run_id").agg(F.min(F.struct(-F.col("n"), F.col("_own"))).getField("_own").alias("_mode"), F.sum("n").alias("_size"))
+    p = join_groups(p, mode, ["layer", "run_id"], "_size", "profile_id")
     return p.select("profile_id", "layer", "run_id", "values", F.coalesce("_own", "_mode").alias("condition_key"), F.when(F.col("_own").isNull(), 1).otherwise(0).alias("key_filled"))
 
 
-def _median(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Median and support per group. Equal readings are counted first, so that a hot group is spread over its values and no task
-    holds its rows; the exact median then comes from the counts."""
-    c = cells.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+def _median(cells: DataFrame, keys: list[str], name: str, needed: DataFrame) -> DataFrame:
+    """Median and support per group of ``needed``. Equal readings are counted first, so that a hot group is spread over its values and
+    no task holds its rows; the exact median then comes from the counts."""
+    c = cells.groupBy(*keys, "value").agg(F.count("*").alias("n")).join(needed, needed.columns, "left_semi")
     return c.groupBy(*keys).agg(F.expr("percentile(value, 0.5, n)").alias(name), F.sum("n").alias(f"{name}_n"))
 
 
@@ -56,7 +58,8 @@ def fill_cells(profiles: DataFrame, axis: DataFrame, min_support: int = 2) -> Da
     flag is ``read`` (own reading), ``run`` or ``condition`` (the group whose median it is) or ``unfilled`` (value null). The run
     serves if ``min_support`` of its profiles under the key have a reading, else the condition if any has. Profiles without a key
     have only ``read`` and ``unfilled`` cells. An array that is null or too short leaves its missing cells as gaps; cells beyond
-    the axis are ignored. ``profiles`` comes from :func:`fill_keys`; ``axis`` has layer, idx, molecule_id.
+    the axis are ignored. ``profiles`` comes from :func:`fill_keys` and is read several times, so materialise it; ``axis`` has layer, idx,
+    molecule_id.
     """
     a = axis.groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("idx", "molecule_id"))).alias("axis"))
     cell = F.explode(F.transform("axis", lambda m: F.struct(m["molecule_id"].alias("molecule_id"), F.get("values", m["idx"].cast("int")).alias("value")))).alias("c")
@@ -64,11 +67,11 @@ def fill_cells(profiles: DataFrame, axis: DataFrame, min_support: int = 2) -> Da
     seen = cells.where("value is not null and condition_key is not null")
     gaps = cells.where("value is null")
     groups = ["layer", "condition_key", "molecule_id"]
-    needed = gaps.where("condition_key is not null").groupBy(*groups).agg(F.lit(1).alias("_needed")).drop("_needed")
-    seen = seen.join(needed, groups, "left_semi")
-    by_run = _median(seen, [*groups, "run_id"], "_run").where(F.col("_run_n") >= min_support)
-    by_condition = _median(seen, groups, "_all")
-    g = gaps.join(by_condition, groups, "left").join(by_run, [*groups, "run_id"], "left")
+    needed = gaps.where("condition_key is not null").select(*groups).distinct()
+    by_run = _median(seen, [*groups, "run_id"], "_run", needed).where(F.col("_run_n") >= min_support)
+    by_condition = _median(seen, groups, "_all", needed)
+    g = join_groups(gaps, by_condition, groups, "_all_n", "profile_id")
+    g = join_groups(g, by_run, [*groups, "run_id"], "_run_n", "profile_id")
     flag = F.when(F.col("_run").isNotNull(), "run").when(F.col("_all").isNotNull(), "condition").otherwise("unfilled")
     filled = g.select("profile_id", *groups, F.coalesce("_run", "_all").alias("value"), flag.alias("flag"))
     return cells.where("value is not null").select("profile_id", *groups, "value", F.lit("read").alias("flag")).unionByName(filled)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyomics.functions.quantity import QUANTITY, UNIT_IN_PROSE, plain_text, unit_text, with_number, with_unit
+from polyomics.operators.skew import join_groups
 
 #: Two quantities are the same if they differ by at most this part of the larger.
 TOLERANCE = 0.02
@@ -30,16 +31,19 @@ def quantities(components: DataFrame, media: DataFrame, reference: DataFrame) ->
     a mixture, % by volume without a density); ``unknown_component``. value is null unless converted.
     Rows that come again (same mc_id) count once; rows without mc_id are left out, as nothing can refer to them. A medium without
     a row, or with a null description, states no default. Empty tables give no rows. Columns other than those named are ignored.
+    ``reference`` is the fixed list of components, some dozens of rows, and broadcast; media are joined with hot ones salted.
     """
     c = components.select("mc_id", "medium_id", "component", "raw", F.col("amount").cast("double").alias("amount"), "unit").where("mc_id is not null").dropDuplicates(["mc_id"])
     m = media.groupBy("medium_id").agg(F.max("description").alias("description"))
     m = m.select("medium_id", unit_text(F.regexp_extract(plain_text(F.col("description")), UNIT_IN_PROSE, 1)).alias("_stated")).where("_stated is not null")
+    m = m.join(c.groupBy("medium_id").agg(F.count("*").alias("_size")), "medium_id")
     r = reference.groupBy(same_name(F.col("component")).alias("_name")).agg(
         F.max("component").alias("_ref"), F.max("molar_mass").alias("molar_mass"), F.max("density_g_ml").alias("density"), F.max("common_unit").alias("common_unit")
     )
     raw = plain_text(F.col("raw"))
     blank = raw.isNull() | (raw == "")
-    c = c.withColumns({"_raw": raw, "_name": same_name(F.col("component"))}).join(m, "medium_id", "left").join(r, "_name", "left")
+    c = join_groups(c, m, ["medium_id"], "_size", "mc_id")
+    c = c.withColumns({"_raw": raw, "_name": same_name(F.col("component"))}).join(F.broadcast(r), "_name", "left")
     c = c.withColumns({"_text_unit": unit_text(F.regexp_extract("_raw", QUANTITY, 2)), "_unit": unit_text(F.col("unit")), "_n": F.regexp_extract("_raw", QUANTITY, 1)})
     c = with_number(c, "_n", "_stated_number")
     c = c.withColumns({

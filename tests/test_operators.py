@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyomics.operators import cv, matrix, networks, normalize, pairs, stats
+from polyomics.operators import cv, matrix, networks, normalize, pairs, skew, stats
 
 LONG = "profile_id bigint, condition_key string, molecule_id bigint, value double"
 
@@ -325,3 +325,14 @@ def test_rma_and_correction(spark):
     assert few.where("value is not null").count() == 0
     life = spark.createDataFrame([(j, "short" if j % 2 else "long") for j in range(40)], "molecule_id bigint, life string")
     assert normalize.half_life_control(p, life).collect()[0]["n1"] == 20
+
+
+def test_join_groups(spark):
+    """Every group taken for a hot one, and none: the same as a plain left join; null keys find nothing."""
+    rows = spark.createDataFrame([(i, "h" if i % 3 else f"k{i % 5}", i) for i in range(300)] + [(999, None, 1)], "id bigint, k string, v bigint")
+    g = rows.where("k <> 'k0'").groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("first"))
+    want = sorted((r["id"], r["first"]) for r in rows.join(g, "k", "left").collect() if r["first"] is not None)
+    for hot in (1, 50, 10**6):
+        out = skew.join_groups(rows, g, ["k"], "n", "id", hot)
+        assert out.columns == ["k", "id", "v", "first"] and out.count() == 301
+        assert sorted((r["id"], r["first"]) for r in out.collect() if r["first"] is not None) == want
