@@ -21,14 +21,14 @@ BUCKET_ROWS = 10_000
 
 def stream(counted: DataFrame, seed: int = 7, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """source, doc_id, n_tokens, start: where each document begins in its source's shuffled stream. ``counted`` (doc_id, source,
-    n_tokens) is read twice. Null sources and documents without tokens are left out; copies of a document stay, as rows of their own.
+    n_tokens) is read twice; its sources are those of a target list, so that their sizes are broadcast. Null sources and documents without tokens are left out; copies of a document stay, as rows of their own.
 
     The shuffled order is that of (bucket, hash of doc_id). A running sum over a source would put a third of all rows into one task;
     here it runs within buckets of some thousand documents, and over the bucket totals, one row per bucket.
     """
     c = counted.where("source is not null and n_tokens > 0")
     size = c.groupBy("source").agg(F.ceil(F.count("*") / bucket_rows).alias("buckets"))
-    c = c.join(size, "source").withColumn("mix", F.xxhash64(F.lit(seed), "doc_id"))
+    c = c.join(F.broadcast(size), "source").withColumn("mix", F.xxhash64(F.lit(seed), "doc_id"))
     c = c.select("source", "doc_id", "n_tokens", "mix", F.pmod(F.shiftright("mix", 20), F.col("buckets")).alias("bucket"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = c.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("total")).select("source", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
