@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
-#: Words and pairs a worker remembers before it starts afresh.
+#: Chunks and words, and pairs of tokens, a worker remembers before it starts afresh.
 REMEMBERED = 300_000
+PAIRS = 1_000_000
 NO_RANK = 1 << 60
 
 
@@ -46,10 +47,11 @@ CHUNK = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 
 @lru_cache(maxsize=1)
 def pattern() -> re.Pattern:
-    """The pattern that splits text before the merges: contractions, letters, digits, other signs, blanks (a fixed value of the
-    public tokenizer), with the letter and number classes spelt out for ``re``."""
+    """The pattern that splits text before the merges: letters, digits, contractions, other signs, blanks (a fixed value of the public
+    tokenizer), with the letter and number classes spelt out for ``re``. What is met most often is tried first; no text can begin
+    with both a letter or digit and a contraction."""
     letters, numbers = _character_class("L"), _character_class("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{BLANK}{letters}{numbers}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+    return re.compile(f" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{BLANK}{letters}{numbers}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
 class Words(dict):
@@ -65,7 +67,7 @@ class Words(dict):
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.begins: dict[int, int] = {}
         self.sound: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
@@ -127,7 +129,7 @@ class Words(dict):
         longest = [-1] * n
         for end, token in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - length[token]] = token  # those that end later are longer
-        if len(pairs) > REMEMBERED:
+        if len(pairs) > PAIRS:
             pairs.clear()
         dead = bytearray(n + 1)
         path: list[int] = []
@@ -135,9 +137,10 @@ class Words(dict):
         while True:
             end = at + length[token]
             if not dead[end]:
-                ok = pairs.get((last, token))
+                pair = last << 32 | token
+                ok = pairs.get(pair)
                 if ok is None:
-                    ok = pairs[last, token] = self.compatible(last, token) if last >= 0 else self.usable(token)
+                    ok = pairs[pair] = self.compatible(last, token) if last >= 0 else self.usable(token)
                 if ok:
                     path.append(token)
                     if end == n:
