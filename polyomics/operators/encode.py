@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polyomics.functions.canon import split_gp, split_stress
+from polyomics.operators.skew import join_groups
+from polyomics.operators.wide import name_key
+from polyomics.session import materialize
+
+# What parts the members of a list of names in one text.
+LIST = r"[;|\n]|\s+/\s+|,\s+"
 
 
 def vocabulary(spark_df: DataFrame, column: str) -> list[str]:
@@ -14,7 +20,9 @@ def vocabulary(spark_df: DataFrame, column: str) -> list[str]:
 
 
 def multi_hot(members: Column, words: list[str]) -> Column:
-    return F.transform(F.array(*map(F.lit, words)), lambda w: F.array_contains(members, w).cast("double")) if words else F.array().cast("array<double>")
+    """1 for each of ``words`` among ``members``, which are bound first: inside the inner lambda they would be split anew per word."""
+    each = lambda m: F.transform(F.array(*map(F.lit, words)), lambda w: F.array_contains(m, w).cast("double"))
+    return F.get(F.transform(F.array(members), each), F.lit(0)) if words else F.array().cast("array<double>")
 
 
 def median_filled(amounts: DataFrame) -> DataFrame:
@@ -29,6 +37,21 @@ def block(rows: DataFrame, key: str, feature: str, value: Column, words: list[st
     return g.select(key, F.transform(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.try_element_at("_m", w), F.lit(0.0))).alias("vec"))
 
 
+def strain_markers(markers: DataFrame, strains: DataFrame, conditions: DataFrame) -> DataFrame:
+    """strain, feature, present: the markers under the strain as the keys of ``conditions`` spell it, and under every accession.
+
+    ``markers``: strain (an accession), feature, present; ``strains``: accession, name, alternate_names; ``conditions``: condition_key.
+    Accessions and names compare by letters and digits. A key's strain has the records that bear it as accession, name or alternate
+    name; a marker is present if one of them has it. The accessions stay, so that the vocabulary is that of all markers."""
+    accession = lambda c: F.upper(name_key(F.col(c)))
+    m = markers.groupBy(accession("strain").alias("accession"), "feature").agg(F.max("present").alias("present")).where("accession <> ''")
+    names = F.concat(F.array("accession", "name"), F.split(F.coalesce("alternate_names", F.lit("")), LIST))
+    named = strains.select(accession("accession").alias("accession"), F.explode(names).alias("name")).select("accession", name_key(F.col("name")).alias("_name")).where("_name <> ''").distinct()
+    spelt = conditions.select(F.split_part("condition_key", F.lit("."), F.lit(1)).alias("strain")).distinct().withColumn("_name", name_key(F.col("strain")))
+    own = spelt.join(named, "_name").join(m, "accession").groupBy("strain", "feature").agg(F.max("present").alias("present"))
+    return own.unionByName(m.withColumnRenamed("accession", "strain"))
+
+
 class ConditionEncoder:
     """fit() reads the vocabularies; transform() adds ``features`` = strain | medium | stress | perturbation to a frame with
     condition_key. Unknown strains and media are zeros; unknown stresses and perturbations set nothing. ``medium_kind``: present,
@@ -69,7 +92,20 @@ class ConditionEncoder:
         return d.withColumn("features", vec).drop("_strain", "_medium", "_s", "_m")
 
 
+def _hashed(encoded: DataFrame) -> DataFrame:
+    return encoded.select("condition_key", F.xxhash64("features").alias("h1"), F.xxhash64(F.lit(1), "features").alias("h2"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("s")).distinct()
+
+
 def collisions(encoded: DataFrame) -> DataFrame:
-    """keys, n: the groups of distinct condition keys that have the same vector. Vectors compare by a 128-bit hash with their sum."""
-    h = encoded.select("condition_key", F.xxhash64("features").alias("h1"), F.xxhash64(F.lit(1), "features").alias("h2"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("s")).distinct()
-    return h.groupBy("h1", "h2", "s").agg(F.array_sort(F.collect_list("condition_key")).alias("keys"), F.count("*").alias("n")).where("n > 1").select("keys", "n")
+    """keys, n: the groups of distinct condition keys that have the same vector. Vectors compare by a 128-bit hash with their sum. A
+    group is one array; where groups may be large use :func:`collision_rows`."""
+    return _hashed(encoded).groupBy("h1", "h2", "s").agg(F.array_sort(F.collect_list("condition_key")).alias("keys"), F.count("*").alias("n")).where("n > 1").select("keys", "n")
+
+
+def collision_rows(encoded: DataFrame) -> DataFrame:
+    """h1, h2, condition_key, n: one row per distinct condition key whose vector n > 1 keys have; h1 and h2 are the vector's hash.
+
+    Groups are as in :func:`collisions` but never held whole; hot ones are salted in the join."""
+    h = materialize(_hashed(encoded), "encoded")
+    groups = h.groupBy("h1", "h2", "s").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    return join_groups(h, groups, ["h1", "h2", "s"], "size", "condition_key").where("n is not null").select("h1", "h2", "condition_key", "n")

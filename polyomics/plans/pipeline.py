@@ -171,7 +171,8 @@ def _deliveries(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
     t = catalog.build(_deliveries(spark, d))
-    markers = t["strain_feature"].where("strain rlike '^SR[0-9]+$'").select("strain", F.lower(F.regexp_replace("feature", "[^A-Za-z0-9]", "")).alias("feature"), "present")
+    markers = t["strain_feature"].select("strain", F.lower(F.regexp_replace("feature", "[^A-Za-z0-9]", "")).alias("feature"), "present")
+    markers = encode.strain_markers(markers, t["strain"], t["condition"])
     e = encode.ConditionEncoder("both").fit(markers, t["medium_component"].select("medium_id", F.lower("component").alias("component"), "present", "amount"), t["condition"])
     return e.transform(t["condition"].select("condition_key"))
 
@@ -184,7 +185,7 @@ def encoder_multihot(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def encoder_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return encode.collisions(_encoded(spark, d))
+    return encode.collision_rows(_encoded(spark, d))
 
 
 @query

@@ -210,6 +210,29 @@ def test_encoder(spark):
         assert got["X.Q.heat.b1(KO);b2(OE)"] == [0.0] * (2 + width) + [0.0, 1.0, 1.0, 1.0]
     assert got["T.N.none.none"] == [1.0, 0.0, 0.0, 1.0, 0.0, 5.0, 0.0, 0.0, 0.0, 0.0]  # the missing amount is the median
     assert [r["keys"] for r in encode.collisions(e.transform(c)).collect()] == [["X.Q.heat.b1(KO);b2(OE)", "Y.Q.heat.b2(OE);b1(KO)"]]
+    rows = [(r["condition_key"], r["n"]) for r in encode.collision_rows(e.transform(c)).collect()]
+    assert sorted(rows) == [("X.Q.heat.b1(KO);b2(OE)", 2), ("Y.Q.heat.b2(OE);b1(KO)", 2)]
+
+
+def test_strain_markers_reach_the_keys(spark):
+    markers = spark.createDataFrame([("SR00000001", "reca", 1), ("SR-00000001", "rela", 1), ("sr00000002", "reca", 0), ("SR00000003", "laci", 1), (None, "x", 1)], "strain string, feature string, present int")
+    strains = spark.createDataFrame([("SR00000001", "FGK-1589", None), ("SR00000002", "other", "our stock; rz5000"), ("SR00000003", "RZ 5000", "")], "accession string, name string, alternate_names string")
+    c = spark.createDataFrame([("FGK1589.M.none.none",), ("RZ5000.M.none.none",), ("X.M.none.none",), ("Y.M.none.none",)], "condition_key string")
+    comps = spark.createDataFrame([("M", "NaCl", 1, 5.0)], "medium_id string, component string, present int, amount double")
+    e = encode.ConditionEncoder().fit(encode.strain_markers(markers, strains, c), comps, c)
+    assert e.features == ["laci", "reca", "rela"]
+    got = {r["condition_key"][0]: r["features"][:3] for r in e.transform(c).collect()}
+    assert got == {"F": [0.0, 1.0, 1.0], "R": [1.0, 0.0, 0.0], "X": [0.0] * 3, "Y": [0.0] * 3}
+    assert {(r["condition_key"][0], r["n"]) for r in encode.collision_rows(e.transform(c)).collect()} == {("X", 2), ("Y", 2)}
+
+
+def test_encoder_queries_have_strain_markers(spark):
+    """Conditions that differ only by strain: the vectors of the query differ where the strains' markers do."""
+    from polyomics.plans import pipeline
+
+    d = "/root/testdata/sf0.01"
+    first = {r[0] for r in pipeline._encoded(spark, d).select(F.aggregate(F.slice("features", 1, 20), F.lit(0.0), lambda a, x: a + x)).collect()}
+    assert max(first) > 0
 
 
 # ---- sources
