@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from polyomics.functions.canon import is_wild_type
 from polyomics.operators import stats
+from polyomics.session import materialize
+
+#: Rows of a block within which the drawn rows of the random baseline are looked up.
+BLOCK_ROWS = 1_000
 
 
 def folds(conditions: DataFrame, n_folds: int | None, seed: int = 0) -> DataFrame:
@@ -40,23 +44,50 @@ def wild_type_baseline(long: DataFrame, fold: DataFrame) -> DataFrame:
     return mean_baseline(long, fold).join(wt, ["fold", "molecule_id"], "left").select("fold", "molecule_id", F.coalesce("wt", "y_hat").alias("y_hat"))
 
 
-def random_baseline(vectors: DataFrame, fold: DataFrame, draws: int = 1000, k: int = 10, seed: int = 0) -> DataFrame:
+def random_baseline(vectors: DataFrame, fold: DataFrame, draws: int = 1000, k: int = 10, seed: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """fold, idx, y_hat: the mean of ``draws`` means of min(k, n) training rows drawn without replacement, default_rng(seed + fold).
 
-    ``vectors``: profile_id, condition_key, values. One group per fold; a fold's training rows are the experiment's profiles, whose
-    number doesn't grow with the folds. Rows are ordered by profile_id before the draw, so that it is reproducible."""
-    rows = vectors.select("profile_id", "condition_key", "values")
-    train = F.broadcast(fold.select("fold").distinct()).join(rows.join(F.broadcast(fold.withColumnRenamed("fold", "own")), "condition_key")).where("fold <> own")
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = int(pdf["fold"].iloc[0])
-        m = np.array([[np.nan if v is None else v for v in r] for r in pdf.sort_values("profile_id")["values"]], float)
-        rng, n, total = np.random.default_rng(seed + f), len(m), np.zeros(m.shape[1])
-        for _ in range(draws):
-            total += np.nanmean(m[rng.choice(n, size=min(k, n), replace=False)], axis=0)
-        return pd.DataFrame({"fold": f, "idx": np.arange(m.shape[1]), "y_hat": total / draws})
-
-    return train.select("fold", "profile_id", "values").groupBy("fold").applyInPandas(draw, "fold bigint, idx bigint, y_hat double")
+    ``vectors``: profile_id, condition_key, values. NumPy's draw needs just the number n of a fold's training rows, so only their ranks
+    are drawn, ``draws`` x k integers per fold. Rows are in the order of profile_id, in blocks of about ``block_rows``; a rank is looked
+    up in the block that has it, where the sums of a draw are taken, so that no row is copied per fold and no task has more than a
+    block and the ranks that fall into it. y_hat is null where a draw has no value at that position."""
+    rows = vectors.select("profile_id", "condition_key", "values").join(F.broadcast(fold), "condition_key").select("profile_id", "fold", "values")
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = materialize(rows.repartitionByRange(blocks, "profile_id").withColumn("block", F.spark_partition_id()), "blocks")
+    own = rows.groupBy("block", "fold").agg(F.count("*").alias("own"))
+    size = own.groupBy("block").agg(F.sum("own").alias("n"))
+    every = size.join(F.broadcast(fold.select("fold").distinct())).join(own, ["block", "fold"], "left")
+    trains = every.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct("block", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")))).alias("b"))
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for f, ids, counts in zip(pdf["fold"], pdf["ids"], pdf["counts"], strict=True):
+                ends = np.cumsum(counts)
+                n, rng = int(ends[-1]), np.random.default_rng(seed + int(f))
+                if n:
+                    drawn = np.concatenate([rng.choice(n, size=min(k, n), replace=False) for _ in range(draws)])
+                    at = np.searchsorted(ends, drawn, "right")
+                    yield pd.DataFrame({"block": np.asarray(ids)[at], "fold": f, "draw": np.repeat(np.arange(draws), min(k, n)), "rank": drawn - (ends - counts)[at]})
+
+    def look_up(pdf: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("profile_id", kind="stable"), []
+        if len(pdf) and len(drawn):
+            m = np.array([[np.nan if v is None else v for v in r] for r in pdf["values"]], float)
+            of, seen = pdf["fold"].to_numpy(), ~np.isnan(m)
+            m = np.where(seen, m, 0.0)
+            for f, g in drawn.groupby("fold"):
+                g = g.sort_values("draw", kind="stable")
+                at = np.flatnonzero(of != f)[g["rank"].to_numpy()]
+                draw, first = np.unique(g["draw"].to_numpy(), return_index=True)
+                out.append(pd.DataFrame({"fold": f, "draw": draw, "s": list(np.add.reduceat(m[at], first)), "n": list(np.add.reduceat(seen[at].astype("i8"), first))}))
+        return pd.concat(out) if out else pd.DataFrame({"fold": [], "draw": [], "s": [], "n": []})
+
+    trains = trains.select("fold", F.col("b.block").alias("ids"), F.col("b.n").alias("counts"))
+    drawn = trains.mapInPandas(ranks, "block int, fold bigint, draw bigint, rank bigint")
+    sums = rows.groupBy("block").cogroup(drawn.groupBy("block")).applyInPandas(look_up, "fold bigint, draw bigint, s array<double>, n array<bigint>")
+    cell = sums.select("fold", "draw", F.posexplode(F.arrays_zip("s", "n")).alias("idx", "c")).groupBy("fold", "draw", "idx").agg(F.sum("c.s").alias("s"), F.sum("c.n").alias("n"))
+    mean = F.when(F.min("n") > 0, F.avg(F.try_divide("s", "n")))
+    return cell.groupBy("fold", F.col("idx").cast("bigint").alias("idx")).agg(mean.alias("y_hat"))
 
 
 def predictions(long: DataFrame, fold: DataFrame, baseline: DataFrame) -> DataFrame:

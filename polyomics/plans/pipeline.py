@@ -90,7 +90,7 @@ def layer_knn_impute(spark: SparkSession, d: str) -> DataFrame:
 @query
 def random_baseline(spark: SparkSession, d: str) -> DataFrame:
     v = b.vectors(spark, d)
-    return cv.random_baseline(v, cv.folds(v, None), 200).select("fold", "idx", r6("y_hat").alias("y_hat"))
+    return cv.random_baseline(v, cv.folds(v, None)).select("fold", "idx", r6("y_hat").alias("y_hat"))
 
 
 @query

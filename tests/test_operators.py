@@ -183,6 +183,37 @@ def test_folds_and_baselines(spark):
     assert p.count() == 12 * 5 and p.where("isnan(y)").count() == 0
 
 
+def test_random_baseline_in_blocks(spark):
+    """No task gets a fold's training rows: blocks of seven rows give what NumPy draws from all of them, missing cells and all."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(90, 3))
+    m[rng.random(m.shape) < 0.2] = np.nan
+    m[:, 2] = np.where(np.arange(90) < 80, np.nan, m[:, 2])
+    keys = [f"c{i % 4}" for i in range(90)]
+    rows = [(i, keys[i], [None if np.isnan(x) else float(x) for x in m[i]]) for i in rng.permutation(90).tolist()]
+    vec = spark.createDataFrame(rows, "profile_id bigint, condition_key string, values array<double>")
+    f = cv.folds(vec, None)
+    one = {(x["fold"], x["idx"]): x["y_hat"] for x in cv.random_baseline(vec, f, 30, 10, 1, block_rows=7).collect()}
+    assert len(one) == 12
+    own = np.arange(90) % 4
+    for k in range(4):
+        g, t = np.random.default_rng(1 + k), m[own != k]
+        means = np.array([np.nanmean(t[g.choice(len(t), size=10, replace=False)], axis=0) for _ in range(30)])
+        np.testing.assert_allclose([one[k, j] for j in range(2)], means.mean(0)[:2], atol=1e-12)
+        assert (one[k, 2] is None) == bool(np.isnan(means[:, 2]).any())
+
+
+def test_random_baseline_query_draws_as_the_operator(spark):
+    from polyomics.plans import bindings, pipeline
+
+    d = "/root/testdata/sf0.001"
+    v = bindings.vectors(spark, d)
+    want = {(r["fold"], r["idx"]): r["y_hat"] for r in cv.random_baseline(v, cv.folds(v, None), draws=1000).collect()}
+    got = {(r["fold"], r["idx"]): r["y_hat"] for r in pipeline.random_baseline(spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+
 def knn(mat, k):
     out = mat.copy()
     seen = np.isfinite(mat)
@@ -336,3 +367,18 @@ def test_join_groups(spark):
         out = skew.join_groups(rows, g, ["k"], "n", "id", hot)
         assert out.columns == ["k", "id", "v", "first"] and out.count() == 301
         assert sorted((r["id"], r["first"]) for r in out.collect() if r["first"] is not None) == want
+
+
+def test_median_polish_in_aggregations(spark):
+    """Each set as NumPy polishes it, with gaps, an even number of arrays, and without a task that gets all cells of a set."""
+    rng = np.random.default_rng(12)
+    m = rng.normal(8, 2, (3, 5, 14))
+    m[rng.random(m.shape) < 0.15] = np.nan
+    m[2] = rng.normal(size=5)[:, None] + rng.normal(size=14)  # settles at once
+    rows = [(s, p, a, None if np.isnan(m[s, p, a]) else float(m[s, p, a])) for s in range(3) for p in range(5) for a in range(14)]
+    r = normalize.median_polish(spark.createDataFrame(rows, "probeset int, probe bigint, profile_id bigint, value double"))
+    assert "InPandas" not in r._jdf.queryExecution().toString()
+    got = {(x["probeset"], x["profile_id"]): x["value"] for x in r.collect()}
+    assert len(got) == 42
+    for s in range(3):
+        np.testing.assert_allclose([got[s, a] for a in range(14)], normalize.polish(m[s]), atol=1e-9)
