@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Markers of absence, and of a missing number.
 ABSENT = ["no", "none", "na", "", "-", "?"]
 NOT_A_NUMBER = ["", "NA", "NAN", "NULL"]
+# How a number is written. The cast alone also takes Java's literals (1d, 2F, 0x1p3) and a signed NaN.
+NUMERIC = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*$"
 AMOUNT = r"^([0-9]*\.?[0-9]+)\s*([A-Za-z%/]*)$"
 WORDED_AMOUNT = r"^[A-Za-z]+\s*\(\s*([^()]+?)\s*\)$"
 
@@ -34,7 +36,7 @@ def named_in(component: Column, *texts: Column) -> Column:
 def numeric(c: Column) -> Column:
     """The number, null for the usual ways to say there is none and for what is no number. Never NaN."""
     t = F.trim(c)
-    return F.when(~F.upper(t).isin(NOT_A_NUMBER), t.try_cast("double"))
+    return F.when(~F.upper(t).isin(NOT_A_NUMBER) & t.rlike(NUMERIC), t.try_cast("double"))
 
 
 def marker_present(c: Column) -> Column:

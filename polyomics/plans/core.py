@@ -400,6 +400,12 @@ def numeric_values(spark: SparkSession, d: str) -> DataFrame:
     return t.select("value", parse.numeric(F.col("value")).alias("x"))
 
 
+@query()
+def numeric_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct value, those too that numeric_values leaves out because the two engines' casts read them differently."""
+    return table(spark, d, "strain_feature").select("value").distinct().select("value", parse.numeric(F.col("value")).alias("x"))
+
+
 @query("SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_type", F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("key"))

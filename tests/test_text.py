@@ -65,3 +65,24 @@ def test_small_rules(values, spark):
     assert [tuple(x) for x in pairs[0][0]] == [("A", -1.0), ("B", -2.0)] and pairs[1][0] == []
     t = spark.createDataFrame([(0.2224, 0.1297, 596), (0.1, 0.1, 14), (0.1, 0.1, 15)], "m double, s double, n int").select(parse.pcc_text(F.col("m"), F.col("s"), F.col("n"))).collect()
     assert [r[0] for r in t] == ["0.2224 ± 0.1297", "n/a (14 cond)", "0.1000 ± 0.1000"]
+
+
+def test_numeric_hard_texts(values):
+    texts = ["+23", "9.014000e+01", "-1E-3", ".5", "5.", "1d", "1f", "2D", "0x1p3", "1e", "--1", "1,5", "infinity", "-inf", "+NaN", "-nan"]
+    inf = float("inf")
+    assert values(parse.numeric, texts) == [23.0, 90.14, -0.001, 0.5, 5.0, None, None, None, None, None, None, None, inf, -inf, None, None]
+
+
+def test_numeric_texts_is_every_value(spark):
+    from polyomics.plans import core
+
+    def brute(v):
+        try:
+            return None if v is None or "_" in v or v.strip().upper() in parse.NOT_A_NUMBER else float(v)
+        except ValueError:
+            return None
+
+    d = "/root/testdata/sf0.01"
+    rows = core.numeric_texts(spark, d).collect()
+    assert len(rows) == spark.read.parquet(f"{d}/strain_feature.parquet").select("value").distinct().count()
+    assert [r["x"] for r in rows] == [brute(r["value"]) for r in rows]
