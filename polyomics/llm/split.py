@@ -61,7 +61,8 @@ def atoms(enc: Encoder, chunk: str) -> list[tuple[str, int, int]]:
             ends = np.cumsum([enc.words.length[i] for i in ids.tolist()])
             for end in ends.tolist():
                 n += 1
-                whole = end == len(data) or (data[end] & 0xC0) != 0x80 and data[end] != 0x27
+                # A word of signs has no letters, so that only its last sign, if an apostrophe, could begin a contraction.
+                whole = end == len(data) or (data[end] & 0xC0) != 0x80 and (data[end] != 0x27 or end < len(data) - 1)
                 if whole and (n >= ATOM // 2 or end == len(data)):
                     parts.append((data[held:end].decode("utf-8"), n))
                     held, n = end, 0

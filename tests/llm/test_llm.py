@@ -295,3 +295,16 @@ def test_doubling_is_the_greedy_pass(spark):
 def test_parameters():
     with pytest.raises(ValueError, match="limit"):
         split.successors(None, 100, 50)
+
+
+def test_runs_of_apostrophes_are_cut(spark):
+    import os
+
+    from polyomics.llm import bpe, split
+
+    enc = bpe.encoder(os.path.join(bpe.TOKENIZERS, bpe.BYTE_BPE_50K))
+    n = lambda t: sum(len(enc[c]) for c in bpe.CHUNK.findall(t)) // 4
+    texts = ["'" * 10_000, "'" * 9_999 + "s end", "','" * 4_000, "a " + "'" * 5_001 + "re x"]
+    got = split.split(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3}
+    assert all(r["n_tokens"] <= split.LIMIT and n(r["text"]) == r["n_tokens"] for r in got)
