@@ -38,7 +38,7 @@ def build(deliveries: dict[str, DataFrame]) -> dict[str, DataFrame]:
     named = (F.col("raw") == "?") & ~F.col("a.present") & parse.named_in(F.col("component"), F.col("base_medium"), F.col("description"))
     m = m.join(t["medium"].select("medium_id", "base_medium", "description"), "medium_id", "left")
     t["medium_component"] = m.select("medium_id", "component", "raw", "a.amount", "a.unit", (F.col("a.present") | F.coalesce(named, F.lit(False))).cast("int").alias("present"))
-    p = impute.fill_keys(d["layer_matrix"]).where("condition_key is not null")
+    p = impute.fill_keys(d["layer_matrix"]).where("condition_key is not null").dropDuplicates(["profile_id"])
     key = p.select("condition_key").distinct().withColumn("k", canon.parse_condition(F.col("condition_key"), strict=False)).where("k is not null")
     t["condition"] = key.select("condition_key", "k.*", canon.is_wild_type(F.col("condition_key")).cast("int").alias("is_wildtype"))
     gp = t["condition"].select("condition_key", F.explode(canon.split_gp(F.col("gp"))).alias("p")).select("condition_key", F.concat("p.gene", F.lit("("), "p.type", F.lit(")")).alias("perturbation_id"), "p.gene", "p.type")

@@ -47,20 +47,26 @@ def with_number(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: the value of the NUMBER in column ``text`` (grouping blanks, apostrophes and commas, a decimal comma, powers of
     ten), null if it isn't one. A single comma is a decimal comma, unless exactly three digits follow it and one to three, not
     beginning with 0, precede it."""
-    df = df.withColumn("_m", F.regexp_replace(F.lower(F.trim(text)), r"(?<=\d)[ '](?=\d{3})", ""))
-    df = df.withColumn("_m", F.regexp_replace("_m", r"\s*[x*]\s*10\s*\^?\s*(?=[-+]?\d+$)", "e"))
-    df = df.withColumn("_m", F.when(F.col("_m").rlike(GROUPED), F.translate("_m", ",", "")).otherwise(F.translate("_m", ",", ".")))
-    return df.withColumn(out, F.when(F.col("_m").rlike(r"^[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?$"), F.col("_m").try_cast("double"))).drop("_m")
+    m = F.regexp_replace(F.lower(F.trim(text)), r"(?<=\d)[ '](?=\d{3})", "")
+    m = F.regexp_replace(m, r"\s*[x*]\s*10\s*\^?\s*(?=[-+]?\d+$)", "e")
+    m = F.when(m.rlike(GROUPED), F.translate(m, ",", "")).otherwise(F.translate(m, ",", "."))
+    written = r"^[-+]?(\d+\.?\d*|\.\d+)(e[-+]?\d+)?$"
+    # The plain way to write a number needs none of the steps above.
+    return df.withColumn(out, F.when(F.col(text).rlike(r"^[-+]?\d+(\.\d+)?$"), F.col(text).try_cast("double")).otherwise(F.when(m.rlike(written), m.try_cast("double"))))
 
 
 def unit_text(c: Column) -> Column:
-    """A unit's spelling made comparable: no blanks or brackets, one sign for *per*, ``l-1`` as ``/l``. Blank is null."""
+    """A unit's spelling made comparable: no blanks or brackets, one sign for *per*, ``l-1`` as ``/l``. A blank stays blank."""
     t = plain_text(c)
-    t = F.regexp_replace(t, r"\s*(?:/|\bper\b|\bin\b)\s*", "/")
-    t = F.regexp_replace(t, r"\s+(m|d|u)?l-1$", "/$1l")
-    t = F.regexp_replace(t, r"[\s()]+", "")
-    t = F.regexp_replace(t, r"^percent(?=[wv])", "%")
-    return F.when(t != "", t)
+    worded = F.regexp_replace(F.regexp_replace(t, r"\s*(?:/|\bper\b|\bin\b)\s*", "/"), r"\s+(m|d|u)?l-1$", "/$1l")
+    worded = F.regexp_replace(F.regexp_replace(worded, r"[\s()]+", ""), r"^percent(?=[wv])", "%")
+    # Most spellings are one word, for which nothing of that acts but on the brackets.
+    return F.when(t.contains(" ") | t.contains("per") | t.contains("in"), worded).otherwise(F.translate(t, " ()", ""))
+
+
+def or_null(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns with null for blank. A step of its own, as an expression used twice in a CASE is evaluated twice."""
+    return df.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in columns})
 
 
 def aliases(spark: SparkSession) -> DataFrame:
@@ -79,11 +85,12 @@ def with_unit(df: DataFrame, unit: str) -> DataFrame:
     top = a.select(F.col("alias").alias("_top"), F.col("kind").alias("_tk"), F.col("factor").alias("_tf"), F.col("offset").alias("_to"))
     low = a.where("kind = 'volume'").select(F.col("alias").alias("_low"), F.col("factor").alias("_lf"))
     part = r"^([a-z]+)/(\d*)([a-z]+)$"
-    is_part = F.col(unit).rlike(part)
+    df = df.withColumns({"_top": F.regexp_extract(unit, part, 1), "_n": F.regexp_extract(unit, part, 2), "_low": F.regexp_extract(unit, part, 3)})
+    is_part = F.col("_low") != ""
     df = df.withColumns({
-        "_top": F.when(is_part, F.regexp_extract(unit, part, 1)).otherwise(F.col(unit)),
-        "_low": F.when(is_part, F.regexp_extract(unit, part, 3)),
-        "_n": F.when(is_part, F.coalesce(F.regexp_extract(unit, part, 2).try_cast("double"), F.lit(1.0))),
+        "_top": F.when(is_part, F.col("_top")).otherwise(F.col(unit)),
+        "_n": F.when(is_part, F.when(F.col("_n") == "", 1.0).otherwise(F.col("_n").try_cast("double"))),
+        "_low": F.when(is_part, F.col("_low")),
     })
     df = df.join(F.broadcast(top), "_top", "left").join(F.broadcast(low), "_low", "left")
     per = F.col("_lf").isNotNull() & (F.col("_n") > 0)

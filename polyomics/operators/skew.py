@@ -11,6 +11,8 @@ from polyomics.session import materialize
 
 #: Rows of a group from which it is split. At most a thousand groups are, whatever the data.
 HOT = 100_000
+#: Rows up to which a list of hot keys is broadcast.
+LISTED = 10_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, hot: int = HOT) -> DataFrame:
@@ -29,3 +31,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     r = rows.join(listed, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.when(absent, 64).otherwise(1)))).drop("_salts")
     g = g.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop(size)
     return r.join(g, [*keys, "_salt"], "left").drop("_salt")
+
+
+def join_salted(a: DataFrame, b: DataFrame, keys: list[str], spread: str, hot: int = 2_000) -> DataFrame:
+    """Inner join of two frames that may both have many rows of a key: the rows of ``a`` under a hot key are spread by the hash of
+    ``spread``, those of ``b`` repeated per salt, so that a task gets some ``hot`` rows of ``a`` with all of ``b``.
+
+    Keys of more than ``hot`` rows in ``b`` are counted, with map-side combining, and written; they are broadcast while there are at
+    most LISTED, else joined by a shuffle. ``a`` and ``b`` are read twice, so they should be cheap to read."""
+    listed = materialize(b.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot), "hot")
+    n = listed.count()
+    if not n:
+        return a.join(b, keys)
+    listed = listed.select(*keys, F.ceil(F.col("_n") / hot).cast("bigint").alias("_salts"))
+    listed = F.broadcast(listed) if n <= LISTED else listed
+    x = a.join(listed, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    y = b.join(listed, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return x.join(y, [*keys, "_salt"]).drop("_salt")

@@ -11,11 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyomics.functions.quantity import QUANTITY, UNIT_IN_PROSE, plain_text, unit_text, with_number, with_unit
-from polyomics.operators.skew import join_groups
+from polyomics.functions.quantity import QUANTITY, UNIT_IN_PROSE, or_null, plain_text, unit_text, with_number, with_unit
+from polyomics.operators.skew import join_groups, join_salted
+from polyomics.session import materialize
 
 #: Two quantities are the same if they differ by at most this part of the larger.
 TOLERANCE = 0.02
+#: Media whose description states a unit, up to which they are broadcast (some dozen bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def same_name(c: Column) -> Column:
@@ -31,23 +34,29 @@ def quantities(components: DataFrame, media: DataFrame, reference: DataFrame) ->
     a mixture, % by volume without a density); ``unknown_component``. value is null unless converted.
     Rows that come again (same mc_id) count once; rows without mc_id are left out, as nothing can refer to them. A medium without
     a row, or with a null description, states no default. Empty tables give no rows. Columns other than those named are ignored.
-    ``reference`` is the fixed list of components, some dozens of rows, and broadcast; media are joined with hot ones salted.
+    ``reference`` is the fixed list of components, some dozens of rows, and broadcast; media that state a unit are counted and broadcast
+    while few, else joined with hot ones salted.
     """
-    c = components.select("mc_id", "medium_id", "component", "raw", F.col("amount").cast("double").alias("amount"), "unit").where("mc_id is not null").dropDuplicates(["mc_id"])
+    # What the texts say is read before the shuffle, so that two lean stages follow each other instead of one too large to be compiled.
+    c = components.where("mc_id is not null").select("mc_id", "medium_id", same_name(F.col("component")).alias("_name"), "component", plain_text(F.col("raw")).alias("_raw"), F.col("amount").cast("double").alias("amount"), "unit")
+    c = c.withColumns({"_text_unit": F.regexp_extract("_raw", QUANTITY, 2), "_n": F.regexp_extract("_raw", QUANTITY, 1), "_blank": F.coalesce(F.col("_raw") == "", F.lit(True))})
+    c = with_number(c.withColumns({"_text_unit": unit_text(F.col("_text_unit")), "_unit": unit_text(F.col("unit"))}), "_n", "_stated_number")
+    c = c.select("mc_id", "medium_id", "_name", "component", "_text_unit", "_unit", "_blank", F.when(F.col("_blank"), F.col("amount")).otherwise(F.col("_stated_number")).alias("number"))
+    c = c.repartition("mc_id").dropDuplicates(["mc_id"])  # so it is sorted once, not before and after the shuffle
     m = media.groupBy("medium_id").agg(F.max("description").alias("description"))
-    m = m.select("medium_id", unit_text(F.regexp_extract(plain_text(F.col("description")), UNIT_IN_PROSE, 1)).alias("_stated")).where("_stated is not null")
-    m = m.join(c.groupBy("medium_id").agg(F.count("*").alias("_size")), "medium_id")
+    m = or_null(m.select("medium_id", unit_text(F.regexp_extract(plain_text(F.col("description")), UNIT_IN_PROSE, 1)).alias("_stated")), "_stated").where("_stated is not null")
+    m = materialize(m, "stated")
     r = reference.groupBy(same_name(F.col("component")).alias("_name")).agg(
         F.max("component").alias("_ref"), F.max("molar_mass").alias("molar_mass"), F.max("density_g_ml").alias("density"), F.max("common_unit").alias("common_unit")
     )
-    raw = plain_text(F.col("raw"))
-    blank = raw.isNull() | (raw == "")
-    c = join_groups(c, m, ["medium_id"], "_size", "mc_id")
-    c = c.withColumns({"_raw": raw, "_name": same_name(F.col("component"))}).join(F.broadcast(r), "_name", "left")
-    c = c.withColumns({"_text_unit": unit_text(F.regexp_extract("_raw", QUANTITY, 2)), "_unit": unit_text(F.col("unit")), "_n": F.regexp_extract("_raw", QUANTITY, 1)})
-    c = with_number(c, "_n", "_stated_number")
+    if m.count() <= BROADCAST_ROWS:
+        c = c.join(F.broadcast(m), "medium_id", "left")
+    else:
+        m = m.join(components.where("mc_id is not null").groupBy("medium_id").agg(F.count("*").alias("_size")), "medium_id")
+        c = join_groups(c, m, ["medium_id"], "_size", "mc_id")
+    c = or_null(c.join(F.broadcast(r), "_name", "left"), "_text_unit", "_unit")
+    blank = F.col("_blank")
     c = c.withColumns({
-        "number": F.when(blank, F.col("amount")).otherwise(F.col("_stated_number")),
         "unit": F.when(blank, F.col("_unit")).otherwise(F.coalesce("_text_unit", "_unit", "_stated")),
         "unit_from": F.when(~blank & F.col("_text_unit").isNotNull(), "text").when(F.col("_unit").isNotNull(), "field").when(~blank & F.col("_stated").isNotNull(), "medium"),
     })
@@ -69,11 +78,14 @@ def same_quantity(q: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Pairs mc_id_a < mc_id_b of a medium and component whose non-zero values differ by at most ``tolerance`` of the larger.
 
     A band join: values fall into logarithmic bins as wide as the tolerance, so that partners lie in the same or the next bin, and
-    the equi-join on (medium, component, bin) never sees the other rows of a group. Null media or components pair with nothing.
+    the equi-join on (medium, component, bin) never sees the other rows of a group. A bin that very many rows share is split over
+    tasks, as its pairs are as many as its rows squared. ``q`` is computed once and written. Null media or components pair with nothing.
     """
     width = -math.log1p(-tolerance)
-    v = q.where("value > 0").select("mc_id", "medium_id", "component", "value", F.floor(F.log("value") / width).alias("bin"))
+    v = q.where("value > 0 and medium_id is not null and component is not null").select("mc_id", "medium_id", "component", "value", F.floor(F.log("value") / width).alias("bin"))
+    v = materialize(v, "values")
     a = v.select(F.col("mc_id").alias("a"), "medium_id", "component", F.col("value").alias("x"), F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin"))
     b = v.select(F.col("mc_id").alias("b"), "medium_id", "component", F.col("value").alias("y"), "bin")
     near = F.abs(F.col("x") - F.col("y")) <= tolerance * F.greatest("x", "y")
-    return a.join(b, ["medium_id", "component", "bin"]).where((F.col("a") < F.col("b")) & near).select(F.col("a").alias("mc_id_a"), F.col("b").alias("mc_id_b"))
+    pairs = join_salted(a, b, ["medium_id", "component", "bin"], "a")
+    return pairs.where((F.col("a") < F.col("b")) & near).select(F.col("a").alias("mc_id_a"), F.col("b").alias("mc_id_b"))

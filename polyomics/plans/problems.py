@@ -18,12 +18,12 @@ def p1_quantities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    profiles = materialize(impute.fill_keys(table(spark, d, "layer_matrix")), "profiles")
-    return impute.gaps(profiles, impute.fill_cells(profiles, table(spark, d, "layer_axis")))
+    profiles = impute.fill_keys(table(spark, d, "layer_matrix"))
+    return impute.gaps(profiles, impute.fill_vectors(profiles, table(spark, d, "layer_axis")))
 
 
 def p3_filled(spark: SparkSession, d: str) -> DataFrame:
-    return impute.fill_cells(materialize(impute.fill_keys(table(spark, d, "layer_matrix")), "profiles"), table(spark, d, "layer_axis"))
+    return impute.fill_cells(impute.fill_keys(table(spark, d, "layer_matrix")), table(spark, d, "layer_axis"))
 
 
 def _strain_cells(spark: SparkSession, d: str) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyomics.session import reach_workers
+from polyomics.session import prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    reach_workers(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,9 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, when it isn't installed. On a cluster whose nodes don't
+def prepare(spark: SparkSession) -> None:
+    """What queries need of a session they didn't make.
+
+    Generated methods above 8,000 bytes, which HotSpot doesn't compile, are not used: such a stage runs its operators one by one, each
+    compiled. Python workers import this package from where the driver has it, when it isn't installed; on a cluster whose nodes don't
     share that folder, ship the package with ``--py-files`` instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

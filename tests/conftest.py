@@ -12,11 +12,11 @@ os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 4g --conf spark.ui
 
 @pytest.fixture(scope="session")
 def spark():
-    from polyomics.session import get_session, reach_workers
+    from polyomics.session import get_session, prepare
 
     s = get_session("tests", "local[4]", 4)
     s.sparkContext.setLogLevel("ERROR")
-    reach_workers(s)
+    prepare(s)
     return s
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -85,33 +86,43 @@ AXIS = [("t", 0, "g0"), ("t", 1, "g1"), ("t", 2, "g2")]
 NAN = float("nan")
 
 
-def filled(spark, rows):
+def filled(spark, rows, group=1000):
     p = impute.fill_keys(spark.createDataFrame([(*r, "clash") for r in rows], L))
-    f = impute.fill_cells(p, spark.createDataFrame(AXIS, "layer string, idx bigint, molecule_id string"))
-    return p, f
+    axis = spark.createDataFrame(AXIS, "layer string, idx bigint, molecule_id string")
+    return p, impute.fill_cells(p, axis, group=group), impute.gaps(p, impute.fill_vectors(p, axis, group=group))
 
 
-def test_fill(spark):
+@pytest.mark.parametrize("group", [1000, 1])  # 1: every group taken for a large one
+def test_fill(spark, group):
     key = "S 1.MD00000001.none.b1(KO)"
     rows = [
         (1, "t", "r1", key, [1.0, None, -9999.0]), (2, "t", "r1", None, [3.0, 4.0, NAN]), (3, "t", "r1", "S 1.?.none.b1(KO)", [5.0, 6.0, None]),
         (4, "t", "r2", key, [7.0, None, 9.0]), (5, "t", "r3", "n/d", [1.0, None, 2.0]), (6, "t", "r2", " " + key, None), (7, "t", "r2", key, [0.0, 0.0, None]), (8, "t", None, "", [1.0]),
     ]
-    p, f = filled(spark, [*rows, rows[0]])
+    p, f, g = filled(spark, [*rows, rows[0], rows[4]], group)
     keys = {r["profile_id"]: r["condition_key"] for r in p.collect()}
     assert keys == {1: key, 2: key, 3: key, 4: key, 5: None, 6: key, 7: key, 8: None}
     cell = {(r["profile_id"], r["molecule_id"]): (r["value"], r["flag"]) for r in f.collect()}
-    assert len(cell) == 24
+    assert len(cell) == f.count() == 24
     assert cell[1, "g1"] == (5.0, "run") and cell[1, "g2"] == (9.0, "condition") and cell[4, "g1"] == (5.0, "condition") and cell[6, "g0"] == (4.0, "condition")
     assert cell[7, "g0"] == (4.0, "condition") and cell[5, "g1"] == (None, "unfilled") and cell[8, "g2"] == (None, "unfilled") and cell[8, "g0"] == (1.0, "read")
-    g = {(r["profile_id"], r["field_name"]): r["outcome"] for r in impute.gaps(p, f).collect()}
+    assert g.count() == g.distinct().count()
+    g = {(r["profile_id"], r["field_name"]): r["outcome"] for r in g.collect()}
     assert g[2, "condition_key"] == key and g[3, "condition_key"] == key and g[5, "condition_key"] == "unfilled" and (4, "condition_key") not in g
     assert g[6, "g2"] == "filled" and g[5, "g1"] == "unfilled"
 
 
 def test_fill_empty(spark):
-    p, f = filled(spark, [])
-    assert impute.gaps(p, f).count() == 0
+    assert [df.count() for df in filled(spark, [])] == [0, 0, 0]
+
+
+def test_large_groups_are_filled_like_small_ones(spark):
+    rng = random.Random(6)
+    cell = lambda: rng.choice([None, NAN, round(rng.random(), 1), rng.random()])
+    rows = [(i, "t", rng.choice(["r1", "r2", "r3", None]), rng.choice(["a.m.none.none", "b.m.none.none", None]), [cell() for _ in range(rng.randint(0, 3))]) for i in range(300)]
+    small, large = ({(r["profile_id"], r["molecule_id"]): (r["condition_key"], r["value"], r["flag"]) for r in filled(spark, rows, g)[1].collect()} for g in (1000, 20))
+    assert small.keys() == large.keys() and len(small) == 900
+    assert all(small[k][::2] == large[k][::2] and small[k][1] == (large[k][1] and pytest.approx(large[k][1])) for k in small)
 
 
 def test_gaps_against_brute_force(spark):
@@ -120,7 +131,7 @@ def test_gaps_against_brute_force(spark):
     m = spark.read.parquet(f"{SMALL}/layer_matrix.parquet")
     axis = spark.read.parquet(f"{SMALL}/layer_axis.parquet")
     p = impute.fill_keys(m)
-    got = {(r["profile_id"], r["field_name"], r["outcome"]) for r in impute.gaps(p, impute.fill_cells(p, axis)).collect()}
+    got = {(r["profile_id"], r["field_name"], r["outcome"]) for r in impute.gaps(p, impute.fill_vectors(p, axis)).collect()}
     names = defaultdict(dict)
     for r in axis.collect():
         names[r["layer"]][r["idx"]] = r["molecule_id"]
