@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyomics.llm import bpe, dedup, mixture, names, split
-from polyomics.session import materialize, reach_workers
+from polyomics.session import materialize, prepare
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    reach_workers(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
