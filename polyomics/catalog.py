@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from polyomics.functions import canon, parse
 from polyomics.operators import impute, matrix
 
-TABLES = ["strain", "strain_feature", "medium", "medium_component", "stress", "perturbation", "condition", "condition_perturbation", "molecule", "reaction", "profile", "measurement", "flux", "phenotype", "source", "build_info"]
+TABLES = ["strain", "strain_feature", "medium", "medium_component", "stress", "perturbation", "condition", "condition_perturbation", "molecule", "reaction", "profile", "measurement", "vector", "flux", "phenotype", "source", "build_info"]
 LAYERS = ["transcriptome", "proteome", "metabolome", "fluxome", "phenome"]
 
 
@@ -26,7 +26,7 @@ def _latest(df: DataFrame, keys: list[str], at: str = "loaded_at") -> DataFrame:
 
 
 def build(deliveries: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The sixteen tables from strain, strain_feature, medium, medium_component, layer_matrix and layer_axis.
+    """The seventeen tables from strain, strain_feature, medium, medium_component, layer_matrix and layer_axis.
 
     Keys are the condition key itself, so that a rebuild gives the same ids. Missing cells are not stored."""
     d = deliveries
@@ -34,7 +34,7 @@ def build(deliveries: dict[str, DataFrame]) -> dict[str, DataFrame]:
     t["strain"] = _latest(d["strain"].select("accession", "name", "link", "pmid", "alternate_names", "loaded_at"), ["accession"]).drop("loaded_at")
     t["strain_feature"] = _latest(d["strain_feature"].select("strain", "feature", "value", "loaded_at"), ["strain", "feature"]).select("strain", "feature", "value", parse.marker_present(F.col("value")).cast("int").alias("present"))
     t["medium"] = _latest(d["medium"].select("medium_id", "base_medium", "description", "link", "pmid", "defined", "loaded_at"), ["medium_id"]).drop("loaded_at")
-    m = _latest(d["medium_component"].select("medium_id", F.trim("component").alias("component"), "raw", "loaded_at"), ["medium_id", "component"]).withColumn("a", parse.parse_amount(F.col("raw")))
+    m = _latest(d["medium_component"].select("medium_id", canon.strip(F.col("component")).alias("component"), "raw", "loaded_at"), ["medium_id", "component"]).withColumn("a", parse.parse_amount(F.col("raw")))
     named = (F.col("raw") == "?") & ~F.col("a.present") & parse.named_in(F.col("component"), F.col("base_medium"), F.col("description"))
     m = m.join(t["medium"].select("medium_id", "base_medium", "description"), "medium_id", "left")
     t["medium_component"] = m.select("medium_id", "component", "raw", "a.amount", "a.unit", (F.col("a.present") | F.coalesce(named, F.lit(False))).cast("int").alias("present"))
@@ -48,6 +48,7 @@ def build(deliveries: dict[str, DataFrame]) -> dict[str, DataFrame]:
     axis = d["layer_axis"].select("layer", "idx", "molecule_id")
     long = matrix.to_long(p.select("profile_id", "layer", "values"), axis)
     t["measurement"] = long.where("layer not in ('fluxome', 'phenome')").select("profile_id", "molecule_id", "value", "layer")
+    t["vector"] = p.select("profile_id", "layer", "condition_key", "values").where("values is not null and exists(values, x -> x is not null)")
     t["flux"] = long.where("layer = 'fluxome'").select("profile_id", F.col("molecule_id").alias("reaction_id"), "value")
     t["phenotype"] = long.where("layer = 'phenome'").groupBy("profile_id").agg(*[F.max(F.when(F.col("molecule_id") == c, F.col("value"))).alias(c) for c in ("lag_time", "growth_rate", "final_od")])
     t["molecule"] = axis.where("layer <> 'fluxome'").groupBy("molecule_id").agg(F.min("layer").alias("kind"))
@@ -64,8 +65,8 @@ def build(deliveries: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def write(tables: dict[str, DataFrame], folder: str) -> None:
     """Parquet, measurements partitioned by layer and sorted by profile within files, so that layer and profile predicates skip data."""
     for name, df in tables.items():
-        w = df.sortWithinPartitions("profile_id").write if name == "measurement" else df.write
-        (w.partitionBy("layer") if name in ("measurement", "profile") else w).mode("overwrite").parquet(f"{folder}/{name}")
+        w = df.sortWithinPartitions("profile_id").write if name in ("measurement", "vector") else df.write
+        (w.partitionBy("layer") if name in ("measurement", "vector", "profile") else w).mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -127,3 +128,15 @@ def growth_rates(t: dict[str, DataFrame]) -> DataFrame:
 def save_json(df: DataFrame, path: str) -> None:
     """A small metric frame as one JSON document, keys in order."""
     Path(path).write_text(json.dumps([json.loads(r) for r in df.toJSON().collect()], indent=1, sort_keys=True), encoding="utf-8")
+
+
+def save_predictions(predictions: DataFrame, folder: str) -> None:
+    """Predictions (predictor, fold, profile_id, condition_key, molecule_id, y, y_hat) as Parquet, a folder per predictor, so that several
+    models lie side by side. A predictor saved again replaces its own folder only."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("predictor").parquet(folder)
+
+
+def saved_predictions(spark: SparkSession, folder: str, predictors: list[str] | None = None) -> DataFrame:
+    """What :func:`save_predictions` stored, of the named predictors or all."""
+    p = spark.read.parquet(folder)
+    return p if predictors is None else p.where(F.col("predictor").isin(predictors))

@@ -14,17 +14,22 @@ NO_STRESS_TOKENS = ["", "none", "na", "nan", "null", "-"]
 GP_TYPES = ["KO", "OE", "IN", "VAR", "RM", "EX", "WT"]
 
 # gene(TYPE), and the underscore dialect, in which either side may be the type.
-GENE_TYPE = r"^\s*(.+?)\s*\(\s*([A-Za-z]+)\s*\)\s*$"
-UNDERSCORE = r"^\s*(.+?)_([A-Za-z]+)\s*$"
+GENE_TYPE = r"(?U)^\s*(.+?)\s*\(\s*([A-Za-z]+)\s*\)\s*$"
+UNDERSCORE = r"(?U)^\s*(.+?)_([A-Za-z]+)\s*$"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind, tabs, line ends and hard blanks too, on either side."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def as_text(c: Column) -> Column:
-    """Trimmed text; null is blank."""
-    return F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    """Stripped text; null is blank."""
+    return strip(F.coalesce(c.cast("string"), F.lit("")))
 
 
 def is_wild_type_token(c: Column) -> Column:
-    return F.lower(F.trim(c)).isin(WILD_TYPE_TOKENS)
+    return F.lower(strip(c)).isin(WILD_TYPE_TOKENS)
 
 
 def parse_token(t: Column) -> Column:
@@ -38,7 +43,7 @@ def parse_token(t: Column) -> Column:
     gene = (
         F.when(t.rlike(GENE_TYPE), F.regexp_extract(t, GENE_TYPE, 1))
         .when(t.rlike(UNDERSCORE), F.when(swapped, other).otherwise(F.regexp_extract(t, UNDERSCORE, 1)))
-        .otherwise(F.trim(t))
+        .otherwise(strip(t))
     )
     kind = F.when(t.rlike(GENE_TYPE), F.upper(F.regexp_extract(t, GENE_TYPE, 2))).when(t.rlike(UNDERSCORE), F.when(swapped, side).otherwise(other)).otherwise("EX")
     drop = is_wild_type_token(t) | (kind == "WT") | is_wild_type_token(gene)
@@ -49,7 +54,7 @@ def split_gp(gp: Column, symbols: Column | None = None) -> Column:
     """Distinct struct(gene, type) of a gp text, ordered by gene and type. ``symbols`` is a map lower-case symbol -> locus that
     renames genes; unknown symbols stay."""
     name = (lambda g: g) if symbols is None else (lambda g: F.coalesce(F.get(F.array(F.try_element_at(symbols, F.lower(g))), F.lit(0)), g))
-    parsed = F.filter(F.transform(F.split(as_text(gp), ";"), lambda t: parse_token(F.trim(t))), lambda s: s.isNotNull())
+    parsed = F.filter(F.transform(F.split(as_text(gp), ";"), lambda t: parse_token(strip(t))), lambda s: s.isNotNull())
     return F.array_sort(F.array_distinct(F.transform(parsed, lambda s: F.struct(name(s["gene"]).alias("gene"), s["type"].alias("type")))))
 
 
@@ -71,7 +76,7 @@ def canonical_stress(c: Column) -> Column:
 
 def split_stress(c: Column) -> Column:
     """The distinct stresses of a text in order; empty for no stress."""
-    members = F.filter(F.transform(F.split(canonical_stress(c), ";"), lambda v: F.trim(v)), lambda s: (s != "") & (s != "none"))
+    members = F.filter(F.transform(F.split(canonical_stress(c), ";"), lambda v: strip(v)), lambda s: (s != "") & (s != "none"))
     return F.array_sort(F.array_distinct(members))
 
 
@@ -82,7 +87,7 @@ def make_key(strain: Column, medium_id: Column, stress: Column, gp: Column) -> C
 def parse_condition(cond: Column, strict: bool = True) -> Column:
     """struct(strain, medium_id, stress, gp), canonical, of a dotted text. Not exactly four parts: an error, or null if not strict."""
     p = F.split(cond, r"\.", -1)
-    key = F.struct(F.trim(F.get(p, F.lit(0))).alias("strain"), F.trim(F.get(p, F.lit(1))).alias("medium_id"), canonical_stress(F.get(p, F.lit(2))).alias("stress"), canonical_gp(F.get(p, F.lit(3))).alias("gp"))
+    key = F.struct(strip(F.get(p, F.lit(0))).alias("strain"), strip(F.get(p, F.lit(1))).alias("medium_id"), canonical_stress(F.get(p, F.lit(2))).alias("stress"), canonical_gp(F.get(p, F.lit(3))).alias("gp"))
     bad = F.raise_error(F.concat(F.lit("a condition needs four dotted parts: "), cond)).cast("struct<strain:string,medium_id:string,stress:string,gp:string>") if strict else F.lit(None)
     return F.when(F.size(p) == 4, key).otherwise(bad) if strict else F.when(F.size(p) == 4, key)
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from polyomics.functions.canon import strip
+
 # Markers of absence, and of a missing number.
 ABSENT = ["no", "none", "na", "", "-", "?"]
 NOT_A_NUMBER = ["", "NA", "NAN", "NULL"]
 # How a number is written. The cast alone also takes Java's literals (1d, 2F, 0x1p3) and a signed NaN.
-NUMERIC = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*$"
+NUMERIC = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)$"
 AMOUNT = r"^([0-9]*\.?[0-9]+)\s*([A-Za-z%/]*)$"
 WORDED_AMOUNT = r"^[A-Za-z]+\s*\(\s*([^()]+?)\s*\)$"
 
@@ -18,8 +20,8 @@ def parse_amount(raw: Column) -> Column:
     """struct(amount, unit, present) of a published cell. Null and ``?``: nothing known, absent; ``0``, ``no``, blank: amount 0;
     ``yes``: present without an amount; number and unit, also wrapped in a word as in ``low(10nM)``; other text: present.
     Case-sensitive; present also means an amount other than 0."""
-    t = F.trim(raw)
-    inner = F.when(t.rlike(WORDED_AMOUNT), F.trim(F.regexp_extract(t, WORDED_AMOUNT, 1))).otherwise(t)
+    t = strip(raw)
+    inner = F.when(t.rlike(WORDED_AMOUNT), strip(F.regexp_extract(t, WORDED_AMOUNT, 1))).otherwise(t)
     x = F.when(inner.rlike(AMOUNT), F.regexp_extract(inner, AMOUNT, 1).try_cast("double"))
     unit = F.when(inner.rlike(AMOUNT), F.nullif(F.regexp_extract(inner, AMOUNT, 2), F.lit("")))
     amount = F.when(t.isin("", "0", "no", "-"), 0.0).when(t.isin("?", "unknown", "na", "yes", "y", "present"), None).otherwise(x)
@@ -35,13 +37,13 @@ def named_in(component: Column, *texts: Column) -> Column:
 
 def numeric(c: Column) -> Column:
     """The number, null for the usual ways to say there is none and for what is no number. Never NaN."""
-    t = F.trim(c)
+    t = strip(c)
     return F.when(~F.upper(t).isin(NOT_A_NUMBER) & t.rlike(NUMERIC), t.try_cast("double"))
 
 
 def marker_present(c: Column) -> Column:
     """A strain marker is present unless its value says absence; null says absence."""
-    return ~F.lower(F.trim(F.coalesce(c, F.lit("none")))).isin(ABSENT)
+    return ~F.lower(strip(F.coalesce(c, F.lit("none")))).isin(ABSENT)
 
 
 def modern_reaction_id(c: Column) -> Column:
@@ -61,7 +63,7 @@ def locus(c: Column) -> Column:
 
 def repaired_token(c: Column, symbols: Column) -> Column:
     """A network token as a locus: ``b1474;`` trimmed, a symbol looked up in the map (lower case), ``sym_2`` by its stem; else null."""
-    t = F.regexp_replace(F.trim(c), r"[;\s]+$", "")
+    t = F.regexp_replace(strip(c), r"[;\s]+$", "")
     stem = F.regexp_replace(t, r"_\d+$", "")
     return F.when(t.rlike(r"^b\d{4}$"), t).otherwise(F.coalesce(F.try_element_at(symbols, F.lower(t)), F.try_element_at(symbols, F.lower(stem))))
 
@@ -72,7 +74,7 @@ def is_leaky(name: Column) -> Column:
 
 def bounds_pairs(reactions: Column, bounds: Column) -> Column:
     """array of struct(reaction, bound) of two comma lists; empty if their lengths differ."""
-    r, b = F.transform(F.split(reactions, ","), lambda v: F.trim(v)), F.transform(F.split(bounds, ","), lambda x: F.trim(x).try_cast("double"))
+    r, b = F.transform(F.split(reactions, ","), lambda v: strip(v)), F.transform(F.split(bounds, ","), lambda x: strip(x).try_cast("double"))
     return F.when(F.size(r) == F.size(b), F.zip_with(r, b, lambda x, y: F.struct(x.alias("reaction"), y.alias("bound")))).otherwise(F.array().cast("array<struct<reaction:string,bound:double>>"))
 
 

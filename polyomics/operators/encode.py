@@ -109,3 +109,11 @@ def collision_rows(encoded: DataFrame) -> DataFrame:
     h = materialize(_hashed(encoded), "encoded")
     groups = h.groupBy("h1", "h2", "s").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
     return join_groups(h, groups, ["h1", "h2", "s"], "size", "condition_key").where("n is not null").select("h1", "h2", "condition_key", "n")
+
+
+def build_encoder(tables: dict[str, DataFrame], medium_kind: str = "both") -> ConditionEncoder:
+    """An encoder fitted on the tables of :func:`polyomics.catalog.build`: markers by letters and digits, components in lower case."""
+    markers = tables["strain_feature"].select("strain", F.lower(F.regexp_replace("feature", "[^A-Za-z0-9]", "")).alias("feature"), "present")
+    markers = strain_markers(markers, tables["strain"], tables["condition"])
+    components = tables["medium_component"].select("medium_id", F.lower("component").alias("component"), "present", "amount")
+    return ConditionEncoder(medium_kind).fit(markers, components, tables["condition"])

@@ -1,18 +1,13 @@
-"""Constraint-based flux prediction: bounds from media and expression as Columns, one linear program per condition in a narrow map."""
+"""Constraint-based flux: levels and bounds of reactions from genes, media and expression, as Columns and joins."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyomics.operators import stats
-
-OPTIMAL, TOL = 1e-9, 1e-9
+from polyomics.functions.canon import strip
 
 
 def gene_rule(rule: str | None, levels: Column) -> Column:
@@ -79,151 +74,18 @@ def mappable(candidates: DataFrame, model: DataFrame) -> DataFrame:
     return candidates.select("reaction", forms).join(model.select(F.col("reaction").alias("model_reaction")).distinct(), "model_reaction", "left_semi").groupBy("reaction").agg(F.min_by("model_reaction", "rank").alias("model_reaction"))
 
 
+def identified(reactions: DataFrame, column: str) -> DataFrame:
+    """The rows whose identifier says something: neither null nor ``na``."""
+    return reactions.where(F.col(column).isNotNull() & (F.lower(strip(F.col(column))) != "na"))
+
+
 def rescaled(fluxes: DataFrame, uptake: str = "EX_glc__D_e") -> DataFrame:
     """Fluxes per 100 of glucose uptake; a condition whose uptake is within 1e-9 of 0 stays as it is."""
     g = fluxes.where(F.col("reaction") == uptake).groupBy("condition_key").agg(F.max(F.abs("flux")).alias("g"))
     return fluxes.join(g, "condition_key", "left").withColumn("flux", F.when(F.col("g") > 1e-9, F.col("flux") / F.col("g") * 100).otherwise(F.col("flux"))).drop("g")
 
 
-def linear_program(c: np.ndarray, a: np.ndarray, b: np.ndarray, lb: np.ndarray, ub: np.ndarray, le: np.ndarray | None = None, le_b: np.ndarray | None = None) -> np.ndarray | None:
-    """x that minimises c'x with a x = b, le x <= le_b, lb <= x <= ub; None if there is none. All bounds are finite.
-
-    Dense two-phase simplex with Bland's rule on x - lb, for models of some hundred reactions."""
-    if (lb > ub + TOL).any():
-        return None
-    n, u = len(c), ub - lb
-    blocks, right = [np.hstack([a, np.zeros((len(a), 0))])], [b - a @ lb]
-    rows = np.vstack([blocks[0], *([le] if le is not None else []), np.eye(n)])
-    rhs = np.concatenate([right[0], *([le_b - le @ lb] if le is not None else []), u])
-    slack = np.vstack([np.zeros((len(a), len(rows) - len(a))), np.eye(len(rows) - len(a))])
-    t = np.hstack([rows, slack])
-    flip = rhs < 0
-    t[flip], rhs[flip] = -t[flip], -rhs[flip]
-    m, width = t.shape
-    t = np.hstack([t, np.eye(m), rhs[:, None]])
-    base = np.arange(width, width + m)
-    for k in np.flatnonzero(~flip[len(a) :]):  # a slack with the right sign starts in the base
-        base[len(a) + k] = n + k
-
-    def pivot(cost: np.ndarray, allowed: int) -> float:
-        z = cost.copy()
-        for i, j in enumerate(base):
-            if z[j]:
-                z -= z[j] * t[i]
-        while True:
-            enter = np.flatnonzero(z[:allowed] < -TOL)
-            if not len(enter):
-                return -z[-1]
-            j = enter[0]
-            up = np.flatnonzero(t[:, j] > TOL)
-            if not len(up):
-                return -np.inf
-            ratio = t[up, -1] / t[up, j]
-            best = up[ratio <= ratio.min() + 1e-12]
-            i = best[np.argmin(base[best])]
-            t[i] /= t[i, j]
-            others = np.arange(m) != i
-            t[others] -= np.outer(t[others, j], t[i])
-            z -= z[j] * t[i]
-            base[i] = j
-
-    first = np.zeros(width + m + 1)
-    first[width:-1] = 1.0
-    if pivot(first, width + m) > 1e-7:
-        return None
-    for i in np.flatnonzero(base >= width):  # artificials left at 0 leave the base or their row is empty
-        j = np.flatnonzero(np.abs(t[i, :width]) > 1e-7)
-        if len(j):
-            t[i] /= t[i, j[0]]
-            others = np.arange(m) != i
-            t[others] -= np.outer(t[others, j[0]], t[i])
-            base[i] = j[0]
-    second = np.zeros(width + m + 1)
-    second[:n] = c
-    pivot(second, width)
-    x = np.zeros(width + m)
-    x[base] = t[:, -1]
-    return x[:n] + lb
-
-
-def balance(s: np.ndarray, goal: np.ndarray, lb: np.ndarray, ub: np.ndarray) -> tuple[np.ndarray | None, float]:
-    """Fluxes of largest goal'v with s v = 0, and that value; (None, NaN) if infeasible."""
-    v = linear_program(-goal, s, np.zeros(len(s)), lb, ub)
-    return (None, float("nan")) if v is None else (v, float(goal @ v))
-
-
-def least_total(s: np.ndarray, goal: np.ndarray, lb: np.ndarray, ub: np.ndarray, part: float = 1.0) -> tuple[np.ndarray | None, float]:
-    """Of the fluxes with goal'v at least ``part`` of the optimum, those of least total size. v keeps its bounds; a second variable per
-    reaction is at least its size."""
-    _, best = balance(s, goal, lb, ub)
-    if not np.isfinite(best):
-        return None, float("nan")
-    n = len(lb)
-    eye, zero = np.eye(n), np.zeros((len(s), n))
-    le = np.vstack([np.hstack([eye, -eye]), np.hstack([-eye, -eye]), np.concatenate([-goal, np.zeros(n)])[None]])
-    x = linear_program(np.r_[np.zeros(n), np.ones(n)], np.hstack([s, zero]), np.zeros(len(s)), np.r_[lb, np.zeros(n)], np.r_[ub, np.maximum(abs(lb), abs(ub))], le, np.r_[np.zeros(2 * n), -part * best + OPTIMAL])
-    return (None, float("nan")) if x is None else (x[:n], float(goal @ x[:n]))
-
-
-def variability(s: np.ndarray, goal: np.ndarray, lb: np.ndarray, ub: np.ndarray, part: float = 0.99) -> np.ndarray:
-    """How far each flux can range while goal'v stays at least ``part`` of the optimum; NaN if infeasible."""
-    n = len(lb)
-    _, best = balance(s, goal, lb, ub)
-    if not np.isfinite(best):
-        return np.full(n, np.nan)
-    out = np.full(n, np.nan)
-    for j in range(n):
-        c = np.eye(n)[j]
-        ends = [linear_program(k * c, s, np.zeros(len(s)), lb, ub, -goal[None], np.array([-part * best + OPTIMAL])) for k in (1, -1)]
-        if all(e is not None for e in ends):
-            out[j] = ends[1][j] - ends[0][j]
-    return out
-
-
-def predict(bounds: DataFrame, stoichiometry: DataFrame, goal: str, method: str = "least_total") -> DataFrame:
-    """condition_key, reaction, flux, biomass of every condition; flux null and biomass null where its program is infeasible.
-
-    ``bounds``: condition_key, reaction, lb, ub; ``stoichiometry``: metabolite, reaction, coefficient, the metabolic model, which the
-    driver reads (it doesn't grow with the data). ``method``: balance, least_total, or variability (flux is then the range)."""
-    model = stoichiometry.select("metabolite", "reaction", "coefficient").toPandas()
-    reactions, metabolites = sorted(model["reaction"].unique()), sorted(model["metabolite"].unique())
-    s = model.pivot_table(index="metabolite", columns="reaction", values="coefficient", aggfunc="sum", fill_value=0.0).reindex(index=metabolites, columns=reactions, fill_value=0.0).to_numpy(float)
-    target = np.array([r == goal for r in reactions], float)
-    per = bounds.groupBy("condition_key").agg(F.map_from_entries(F.collect_list(F.struct("reaction", F.struct("lb", "ub").alias("b")))).alias("b"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, b in zip(pdf["condition_key"], pdf["b"], strict=True):
-                lb, ub = (np.array([(b.get(r) or {"lb": 0.0, "ub": 0.0})[k] for r in reactions], float) for k in ("lb", "ub"))
-                if method == "variability":
-                    v, best = variability(s, target, lb, ub), balance(s, target, lb, ub)[1]
-                else:
-                    v, best = (least_total if method == "least_total" else balance)(s, target, lb, ub)
-                out = pd.DataFrame({"condition_key": key, "reaction": reactions, "flux": np.full(len(reactions), np.nan) if v is None else v, "biomass": best})
-                yield out.astype(object).where(out.notna(), None)
-
-    return per.mapInPandas(run, "condition_key string, reaction string, flux double, biomass double")
-
-
-def viable(predicted: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, viable: whether at least half of the conditions have biomass above 1e-6."""
+def viable(predicted: DataFrame, by: list[str], least: float = 1e-6) -> DataFrame:
+    """``by``, viable: whether at least half of the conditions have biomass above ``least``."""
     one = predicted.groupBy(*by, "condition_key").agg(F.max("biomass").alias("b"))
-    return one.groupBy(*by).agg((F.avg((F.coalesce("b", F.lit(0.0)) > 1e-6).cast("int")) >= 0.5).alias("viable"))
-
-
-def threshold_sweep(bounds: DataFrame, levels: DataFrame, stoichiometry: DataFrame, goal: str, thresholds: list[float], measured: DataFrame) -> DataFrame:
-    """threshold, viable, pcc, best: fluxes with expression bounds at each threshold against ``measured`` (condition_key, reaction, flux).
-
-    A threshold that leaves fewer than half of the conditions growing is not viable; best marks the viable one with the largest mean
-    correlation per condition, ties to the smaller. All thresholds are one job: they are part of the condition's key."""
-    t = bounds.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
-    b = bounds.join(levels, ["condition_key", "reaction"], "left").join(F.broadcast(t))
-    tagged = F.concat_ws("|", F.col("threshold").cast("string"), "condition_key")
-    b = b.select(tagged.alias("condition_key"), "reaction", F.least(F.when(F.col("level").isNull(), F.col("lb")).when(F.col("level") <= F.col("threshold"), 0.0).otherwise(F.least("lb", F.lit(0.0))), F.col("ub")).alias("lb"), "ub")
-    p = predict(b, stoichiometry, goal)
-    p = p.select(F.split_part("condition_key", F.lit("|"), F.lit(1)).cast("double").alias("threshold"), F.expr("substring(condition_key, instr(condition_key, '|') + 1)").alias("condition_key"), "reaction", "flux", "biomass")
-    pairs = p.join(measured.select("condition_key", "reaction", F.col("flux").alias("y")), ["condition_key", "reaction"]).withColumnRenamed("flux", "y_hat")
-    score = stats.pcc_by(pairs, "condition_key", "threshold").groupBy("threshold").agg(F.avg("pcc").alias("pcc"))
-    s = viable(p, ["threshold"]).join(score, "threshold", "left")
-    top = s.where("viable").agg(F.max_by("threshold", F.struct("pcc", -F.col("threshold"))).alias("top"))
-    return s.join(F.broadcast(top)).select("threshold", "viable", "pcc", F.coalesce(F.col("threshold") == F.col("top"), F.lit(False)).alias("best"))
+    return one.groupBy(*by).agg((F.avg((F.coalesce("b", F.lit(0.0)) > least).cast("int")) >= 0.5).alias("viable"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polyomics.functions.canon import is_wild_type
+from polyomics.operators.ranks import cumulative
 
 
 def finite(c: Column) -> Column:
@@ -48,10 +49,25 @@ def shared_conditions(profiles: DataFrame, layers: list[str]) -> DataFrame:
     return some.groupBy("condition_key").agg(F.collect_set("layer").alias("l")).where(F.size("l") == len(set(layers))).select("condition_key")
 
 
-def aligned(long: DataFrame, layers: list[str]) -> DataFrame:
-    """condition_key, layer, molecule_id, value: condition means of the layers over the conditions they share."""
+def aligned(long: DataFrame, layers: list[str], ordered: bool = False) -> DataFrame:
+    """condition_key, layer, molecule_id, value: condition means of the layers over the conditions they share; ``ordered``: sorted by
+    them, for a hand-over to code outside Spark."""
     means = average_by_condition(long.where(F.col("layer").isin(layers)), "layer")
-    return means.join(shared_conditions(long, layers), "condition_key", "left_semi")
+    a = means.join(shared_conditions(long, layers), "condition_key", "left_semi")
+    return a.orderBy("condition_key", "layer", "molecule_id") if ordered else a
+
+
+def condition_index(profiles: DataFrame) -> DataFrame:
+    """condition_key, profile_id, place: each condition's profiles in order, counted from 0. Rows, not one array per condition, as a
+    condition may have any number of profiles; a null key has no place."""
+    d = profiles.where("condition_key is not null and profile_id is not null").groupBy("condition_key", "profile_id").agg(F.lit(1).cast("bigint").alias("one"))
+    return cumulative(d, ["condition_key"], "profile_id", "one").select("condition_key", "profile_id", F.col("before").alias("place"))
+
+
+def average_probes(long: DataFrame, genes: DataFrame) -> DataFrame:
+    """profile_id, gene, value: the mean over the probes of each gene. ``genes``: molecule_id (the probe), gene; probes without one are left
+    out."""
+    return long.join(genes.select("molecule_id", "gene").distinct(), "molecule_id").groupBy("profile_id", "gene").agg(F.avg("value").alias("value"))
 
 
 def overlaps(profiles: DataFrame) -> DataFrame:
@@ -75,17 +91,22 @@ def strict_wild_type(df: DataFrame, strain: str, media: DataFrame) -> DataFrame:
 
 
 def testable(conditions: DataFrame, attributes: list[str]) -> DataFrame:
-    """The conditions each of whose attributes occurs in another one too. Counts are aggregated per value and joined back, so that a
-    value most conditions share is no task of its own."""
-    counts = [conditions.groupBy(a).agg(F.count("*").alias(f"_{a}")).where(F.col(f"_{a}") > 1).select(a) for a in attributes]
-    return reduce(lambda d, c: d.join(c, c.columns[0], "left_semi"), counts, conditions).select(conditions.columns)
+    """The distinct rows of ``conditions`` each of whose ``attributes`` occurs in another one too; null attributes don't.
+
+    All attributes are counted in one aggregation of (attribute, value), with map-side combining; the values that occur once, which are
+    the ones that fail a row, are each one row's, so that their join meets no hot key."""
+    c = conditions.distinct().withColumn("_row", F.struct(*conditions.columns))
+    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])).alias("p")
+    rare = c.select("_row", pair).groupBy("p.attribute", "p.value").agg(F.count("*").alias("n"), F.min("_row").alias("_row")).where("n = 1")
+    nulls = reduce(lambda x, y: x | y, [F.col(a).isNull() for a in attributes])
+    return c.where(~nulls).join(rare.select("_row"), "_row", "left_anti").select(*conditions.columns)
 
 
 def fallback_mean(targets: DataFrame, long: DataFrame) -> DataFrame:
     """condition_key, molecule_id, value: the condition's own mean, else the molecule's mean over all profiles."""
     own = average_by_condition(long)
     overall = long.groupBy("molecule_id").agg(F.avg("value").alias("overall"))
-    grid = targets.select("condition_key").distinct().join(F.broadcast(overall))
+    grid = targets.select("condition_key").distinct().crossJoin(F.broadcast(overall))  # by the axis
     return grid.join(own, ["condition_key", "molecule_id"], "left").select("condition_key", "molecule_id", F.coalesce("value", "overall").alias("value"))
 
 
@@ -113,5 +134,7 @@ def shared_genes(long: DataFrame, group: str, least: int = 1) -> DataFrame:
 def top_variance(long: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k molecules of each group of ``by`` with the largest population variance; ties by molecule_id. Those without readings come last."""
     v = long.groupBy(*by, "molecule_id").agg(F.var_pop("value").alias("variance"))
-    w = Window.partitionBy(*by).orderBy(F.col("variance").desc_nulls_last(), "molecule_id") if by else Window.orderBy(F.col("variance").desc_nulls_last(), "molecule_id")
-    return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    order = [F.col("variance").desc_nulls_last(), F.col("molecule_id")]
+    v = v if by else v.orderBy(*order).limit(k).withColumn("_all", F.lit(0))  # then the window below has k rows
+    w = Window.partitionBy(*(by or ["_all"])).orderBy(*order)
+    return v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_all")

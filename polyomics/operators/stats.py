@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from polyomics.operators.ranks import cumulative, quantiles
+
 #: A side whose population standard deviation is below this is constant; fewer pairs than LEAST_PAIRS say nothing.
 CONSTANT = 1e-12
 LEAST_PAIRS = 3
@@ -50,11 +52,11 @@ def evaluate(pairs: DataFrame, by: list[str], n_conditions: Column) -> DataFrame
 
 def rank_sum(df: DataFrame, value: str, group: str, first: str, second: str, by: list[str]) -> DataFrame:
     """``by``, n1, n2, z: Wilcoxon rank-sum of ``first`` against ``second`` with mid-ranks and no tie correction; z null if either has
-    fewer than three. Equal values are counted before they are ranked, so that the window runs over distinct values."""
+    fewer than three. Equal values are counted before they are ranked, and ranks are taken within ranges of values, so that no task holds a
+    group."""
     d = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
     c = d.groupBy(*by, value).agg(F.sum((F.col(group) == first).cast("bigint")).alias("k1"), F.count("*").alias("k"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("mid", F.coalesce(F.sum("k").over(w), F.lit(0)) + (F.col("k") + 1) / 2)
+    c = cumulative(c, by, value, "k").withColumn("mid", F.col("before") + (F.col("k") + 1) / 2)
     s = c.groupBy(*by).agg(F.sum("k1").alias("n1"), (F.sum("k") - F.sum("k1")).alias("n2"), F.sum(F.col("k1") * F.col("mid")).alias("r1"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     z = (F.col("r1") - n1 * (n1 + n2 + 1) / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
@@ -76,7 +78,8 @@ def minmax(long: DataFrame, truth: DataFrame) -> DataFrame:
 
 def target_scale(train: DataFrame, q: float = 0.999) -> DataFrame:
     """One row, scale: the q-th percentile of all training cells; 1 if that is 0 or there is none."""
-    return train.agg(F.percentile("value", F.lit(q)).alias("s")).select(F.when(F.col("s") != 0, F.col("s")).otherwise(1.0).alias("scale"))
+    found = quantiles(train, [], "value", {"s": q}).agg(F.max("s").alias("s"))
+    return found.select(F.when(F.col("s") != 0, F.col("s")).otherwise(1.0).alias("scale"))
 
 
 def scaled_targets(long: DataFrame, scale: DataFrame) -> DataFrame:
@@ -85,6 +88,18 @@ def scaled_targets(long: DataFrame, scale: DataFrame) -> DataFrame:
     return long.join(F.broadcast(scale)).select(*[c for c in long.columns if c != "value"], F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)).alias("value"), ((x < 0) | (x > 1)).alias("clipped"))
 
 
+def unscaled(predicted: DataFrame, scale: DataFrame) -> DataFrame:
+    """Predictions of scaled targets on the scale of the targets again; what was clipped stays clipped."""
+    return predicted.join(F.broadcast(scale)).withColumn("y_hat", F.col("y_hat") * F.col("scale")).drop("scale")  # one row
+
+
+def agreement(ours: DataFrame, theirs: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``by``, n, pcc, rmse, max_diff of two results (``keys``, value) over the cells both have a value for."""
+    j = ours.select(*keys, F.col("value").alias("_a")).join(theirs.select(*keys, F.col("value").alias("_b")), keys).where("_a is not null and _b is not null")
+    d = F.col("_a") - F.col("_b")
+    return j.groupBy(*by).agg(F.count("*").alias("n"), pearson("_a", "_b").alias("pcc"), F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("max_diff"))
+
+
 def platform_zscore(long: DataFrame, by: list[str]) -> DataFrame:
     """(value - mean) / (population sd + 1e-9) over the block ``by``: the platform, or platform and molecule. The block's moments are
     aggregated and joined back."""
@@ -178,13 +193,14 @@ def ablation(predictions: DataFrame, sets: dict[str, list[str]], by: list[str])
 
 
 def ecdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """value and share of rows at most it. Equal values are counted first; the window runs over distinct values."""
+    """value and share of rows at most it. Equal values are counted first; sums are taken within ranges of values."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     total = c.groupBy(*by).agg(F.sum("n").alias("total"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return c.join(total, by).select(*by, value, (F.sum("n").over(w) / F.col("total")).alias("share"))
+    return cumulative(c, by, value, "n").join(total, by).select(*by, value, ((F.col("before") + F.col("n")) / F.col("total")).alias("share"))
 
 
 def diagnostics(long: DataFrame, by: list[str], cells: Column) -> DataFrame:
-    """median, q1, q3 and missing share of a block of ``cells`` cells, per group."""
-    return long.groupBy(*by).agg(F.median("value").alias("median"), F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"), (1 - F.count("value") / cells).alias("missing"))
+    """median, q1, q3 and missing share of a block of ``cells`` cells, per group (groups with a null in ``by`` have no quartiles)."""
+    missing = long.groupBy(*by).agg((1 - F.count("value") / cells).alias("missing"))
+    q = quantiles(long, by, "value", {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n")
+    return missing.join(q, by, "left").select(*by, "median", "q1", "q3", "missing")

@@ -77,15 +77,16 @@ def quantities(components: DataFrame, media: DataFrame, reference: DataFrame) ->
 def same_quantity(q: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Pairs mc_id_a < mc_id_b of a medium and component whose non-zero values differ by at most ``tolerance`` of the larger.
 
-    A band join: values fall into logarithmic bins as wide as the tolerance, so that partners lie in the same or the next bin, and
-    the equi-join on (medium, component, bin) never sees the other rows of a group. A bin that very many rows share is split over
+    A band join: values fall into logarithmic bins as wide as the tolerance, so that partners lie in the same or the next bin, each
+    row is looked for in its own and the one above, and the equi-join on (medium, component, bin) never sees the other rows of a group. A bin that very many rows share is split over
     tasks, as its pairs are as many as its rows squared. ``q`` is computed once and written. Null media or components pair with nothing.
     """
     width = -math.log1p(-tolerance)
     v = q.where("value > 0 and medium_id is not null and component is not null").select("mc_id", "medium_id", "component", "value", F.floor(F.log("value") / width).alias("bin"))
     v = materialize(v, "values")
-    a = v.select(F.col("mc_id").alias("a"), "medium_id", "component", F.col("value").alias("x"), F.explode(F.array(*[F.col("bin") + k for k in (-1, 0, 1)])).alias("bin"))
+    side = F.explode(F.array(F.struct(F.col("bin").alias("bin"), F.lit(True).alias("same")), F.struct((F.col("bin") + 1).alias("bin"), F.lit(False).alias("same")))).alias("s")
+    a = v.select(F.col("mc_id").alias("a"), "medium_id", "component", F.col("value").alias("x"), side).select("a", "medium_id", "component", "x", "s.bin", "s.same")
     b = v.select(F.col("mc_id").alias("b"), "medium_id", "component", F.col("value").alias("y"), "bin")
     near = F.abs(F.col("x") - F.col("y")) <= tolerance * F.greatest("x", "y")
-    pairs = join_salted(a, b, ["medium_id", "component", "bin"], "a")
-    return pairs.where((F.col("a") < F.col("b")) & near).select(F.col("a").alias("mc_id_a"), F.col("b").alias("mc_id_b"))
+    pairs = join_salted(a, b, ["medium_id", "component", "bin"], "a").where(near & (~F.col("same") | (F.col("a") < F.col("b"))))
+    return pairs.select(F.least("a", "b").alias("mc_id_a"), F.greatest("a", "b").alias("mc_id_b"))

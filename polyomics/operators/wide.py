@@ -1,7 +1,7 @@
 """Problem 4: attribute-value rows into one typed row per entity.
 
 Each entity's resolved pairs are aggregated into a map attribute -> cell, from which known attributes are projected into typed
-columns; what could not be settled stays in the cell as its outcome.
+columns; what could not be settled stays in the cell as its outcome, with the values in conflict and the texts that couldn't be cast.
 """
 
 from __future__ import annotations
@@ -67,51 +67,71 @@ def with_typed(df: DataFrame, value: str, kind: str, unit: str) -> DataFrame:
     return df.withColumns({"says": says, "text": text}).drop("_t", "_n", "_rest", "_d", "_x")
 
 
+def _typed_rows(rows: DataFrame, definitions: DataFrame) -> DataFrame:
+    """sf_id, entity, attribute, value, says, text of the rows that have a known strain and feature; of definitions spelt alike the first
+    in order counts."""
+    d = definitions.groupBy(name_key(F.col("feature")).alias("_key")).agg(F.min(F.struct(F.col("feature").alias("attribute"), "value_type", "unit")).alias("d")).select("_key", "d.*")
+    r = rows.select("sf_id", "strain", "feature", "value").where("strain is not null").repartition("sf_id").dropDuplicates(["sf_id"])  # sorted once
+    r = r.select("sf_id", F.upper(name_key(F.col("strain"))).alias("entity"), name_key(F.col("feature")).alias("_key"), "value").where("entity <> ''")
+    return with_typed(r.join(F.broadcast(d), "_key"), "value", "value_type", "unit")
+
+
+def failures(rows: DataFrame, definitions: DataFrame) -> DataFrame:
+    """sf_id, entity, attribute, value: every row that says something which isn't a value of the declared type."""
+    failed = F.when(F.col("says") & F.col("text").isNull(), F.array("value"))  # no filter, which would be copied into every step below
+    return _typed_rows(rows, definitions).select("sf_id", "entity", "attribute", F.explode(failed).alias("value"))
+
+
 def strain_cells(rows: DataFrame, definitions: DataFrame) -> DataFrame:
-    """One row per strain: entity and cells, a map attribute -> struct(value, outcome) of the attributes its rows mention.
+    """One row per strain: entity and cells, a map attribute -> struct(value, outcome, lowest, highest, failed, n_failed) of the attributes
+    its rows mention.
 
     ``rows``: sf_id, strain, feature, value; ``definitions``: feature, value_type, unit. Spellings of strain and feature compare by
     letters and digits; the entity is the accession so spelt, in upper case. Rows that come again (same sf_id) count once. outcome:
-    ``value``, ``conflict`` (rows state different values; value null), ``unreadable`` (some say something, none has a value),
-    ``silent`` (none says anything). Unknown features, and null strains or features, give no cell. All rows of a cell, however
+    ``value``, ``conflict`` (rows state different values, lowest and highest among them; value null), ``unreadable`` (some say something,
+    none has a value), ``silent`` (none says anything). failed is the first in order of the n_failed texts that couldn't be cast, whatever
+    the outcome; :func:`failures` lists all. Unknown features, and null strains or features, give no cell. All rows of a cell, however
     many, are folded by partial aggregation; the map of an entity is as long as the list of definitions at most.
     """
-    d = definitions.select(name_key(F.col("feature")).alias("_key"), F.col("feature").alias("attribute"), "value_type", "unit").dropDuplicates(["_key"])
-    r = rows.select("sf_id", "strain", "feature", "value").dropDuplicates(["sf_id"]).where("strain is not null")
-    r = r.select(F.upper(name_key(F.col("strain"))).alias("entity"), name_key(F.col("feature")).alias("_key"), "value").where("entity <> ''")
-    r = with_typed(r.join(F.broadcast(d), "_key"), "value", "value_type", "unit")
-    said = F.when(F.col("says"), F.col("text"))
-    c = r.groupBy("entity", "attribute").agg(F.min(said).alias("lo"), F.max(said).alias("hi"), F.max("says").alias("says"))
+    said, failed = F.when(F.col("says"), F.col("text")), F.when(F.col("says") & F.col("text").isNull(), F.col("value"))
+    c = _typed_rows(rows, definitions).groupBy("entity", "attribute").agg(F.min(said).alias("lo"), F.max(said).alias("hi"), F.max("says").alias("says"), F.min(failed).alias("failed"), F.count(failed).alias("n_failed"))
     outcome = F.when(F.col("lo").isNull(), F.when(F.col("says"), "unreadable").otherwise("silent")).when(F.col("lo") != F.col("hi"), "conflict").otherwise("value")
-    return _maps(c.select("entity", "attribute", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"), outcome.alias("outcome")))
+    return _maps(c.select("entity", "attribute", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"), outcome.alias("outcome"), F.col("lo").alias("lowest"), F.col("hi").alias("highest"), "failed", "n_failed"))
 
 
 def medium_cells(components: DataFrame, media: DataFrame, reference: DataFrame) -> DataFrame:
     """One row per medium: entity and cells, as :func:`strain_cells`, from the quantities of problem 1.
 
-    value is the smallest of the non-zero quantities in the common unit if all agree within 2 %, as text; else ``conflict``. A cell
-    without any non-zero quantity is ``silent``. Null media and unknown components give no cell.
+    value is the smallest of the non-zero quantities in the common unit if all agree within 2 %, as text; else ``conflict``, between lowest
+    and highest. A cell without any non-zero quantity is ``silent``. failed is a number with its unit that couldn't be brought to the common
+    one. Null media and unknown components give no cell.
     """
     q = quantities(components, media, reference).where("medium_id is not null and outcome <> 'unknown_component' and component is not null")
     q = q.join(F.broadcast(reference.select("component").distinct()), "component", "left_semi")
     v = F.when(F.col("value") > 0, F.col("value"))
-    c = q.groupBy(F.col("medium_id").alias("entity"), F.col("component").alias("attribute")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    failed = F.when(F.col("outcome").isin("no_unit", "unknown_unit"), F.concat_ws(" ", "number", "unit"))
+    c = q.groupBy(F.col("medium_id").alias("entity"), F.col("component").alias("attribute")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.min(failed).alias("failed"), F.count(failed).alias("n_failed"))
     apart = F.col("hi") - F.col("lo") > TOLERANCE * F.col("hi")
     outcome = F.when(F.col("lo").isNull(), "silent").when(apart, "conflict").otherwise("value")
-    return _maps(c.select("entity", "attribute", F.when(~apart, F.col("lo")).cast("string").alias("value"), outcome.alias("outcome")))
+    text = lambda x: x.cast("string")
+    return _maps(c.select("entity", "attribute", text(F.when(~apart, F.col("lo"))).alias("value"), outcome.alias("outcome"), text(F.col("lo")).alias("lowest"), text(F.col("hi")).alias("highest"), "failed", "n_failed"))
 
 
 def _maps(cells: DataFrame) -> DataFrame:
-    pairs = F.collect_list(F.struct("attribute", F.struct("value", "outcome").alias("cell")))
+    pairs = F.collect_list(F.struct("attribute", F.struct("value", "outcome", "lowest", "highest", "failed", "n_failed").alias("cell")))
     return cells.groupBy("entity").agg(F.map_from_entries(pairs).alias("cells"))
 
 
 def project(maps: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The wide table: entity, one column per entry of ``columns`` (attribute -> value_type), and the arrays conflicts and unreadable
-    with the attributes whose cell is empty for that reason. An attribute without a cell is null."""
+    """The wide table: entity, one column per entry of ``columns`` (attribute -> value_type), and in order of the attribute the arrays
+    conflicts (attribute, lowest, highest), unreadable (attributes without a readable value) and failures (attribute, failed, n_failed: the
+    first text that couldn't be cast and how many there are). An attribute without a cell is null."""
     cols = [F.col("cells")[a].getField("value").try_cast(SQL_TYPE[k]).alias(a) for a, k in columns.items()]
-    bad = lambda o: F.array_sort(F.map_keys(F.map_filter("cells", lambda _, c: c["outcome"] == o)))
-    return maps.select("entity", *cols, bad("conflict").alias("conflicts"), bad("unreadable").alias("unreadable"))
+    some = lambda keep: F.array_sort(F.filter(F.map_entries("cells"), lambda e: keep(e["value"])))
+    conflicts = F.transform(some(lambda c: c["outcome"] == "conflict"), lambda e: F.struct(e["key"].alias("attribute"), e["value"]["lowest"].alias("lowest"), e["value"]["highest"].alias("highest")))
+    failed = F.transform(some(lambda c: c["n_failed"] > 0), lambda e: F.struct(e["key"].alias("attribute"), e["value"]["failed"].alias("failed"), e["value"]["n_failed"].alias("n_failed")))
+    unreadable = F.transform(some(lambda c: c["outcome"] == "unreadable"), lambda e: e["key"])
+    return maps.select("entity", *cols, conflicts.alias("conflicts"), unreadable.alias("unreadable"), failed.alias("failures"))
 
 
 def unsettled(maps: DataFrame, kind: str) -> DataFrame:

@@ -71,10 +71,11 @@ def growth_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return e.where("layer = 'click'").join(e.where("layer = 'purchase'"), "condition_key", "left_semi").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {b.LAYERS} SELECT DISTINCT condition_key FROM l WHERE layer = 'view' AND condition_key NOT IN (SELECT condition_key FROM l WHERE layer = 'signup' AND condition_key IS NOT NULL)")
+@query("SELECT DISTINCT o_custkey AS condition_key FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
 def heldout_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    e = b.layers(spark, d)
-    return e.where("layer = 'view'").select("condition_key").distinct().join(e.where("layer = 'signup'"), "condition_key", "left_anti")
+    """Customers with orders that no event layer has."""
+    e = b.layers(spark, d).select("condition_key")
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("condition_key")).distinct().join(e, "condition_key", "left_anti")
 
 
 @query("SELECT c_custkey, coalesce((SELECT count(*) FROM orders WHERE o_custkey = c_custkey), 0) AS n_profiles FROM customer")
@@ -83,11 +84,14 @@ def stress_counts_scalar_subquery(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_profiles"))
 
 
-@query(f"""WITH {b.LAYERS}, m AS (SELECT condition_key, layer, avg(value) AS v FROM l WHERE layer IN ('click', 'purchase', 'view') GROUP BY 1, 2),
-k AS (SELECT condition_key FROM m GROUP BY 1 HAVING count(*) = 3) SELECT condition_key, layer, round(v, 6) AS value FROM m JOIN k USING (condition_key)""")
+@query(f"""WITH {b.LAYERS}, x AS (SELECT *, unnest(['value', 'day']) AS molecule_id, unnest([value, day]) AS v FROM (SELECT l.*, CAST(dayofyear(ts) AS DOUBLE) AS day FROM l JOIN events ON event_id = profile_id) WHERE layer IN ('click', 'purchase', 'view')),
+k AS (SELECT condition_key FROM x GROUP BY 1 HAVING count(DISTINCT layer) = 3) SELECT condition_key, layer, molecule_id, round(avg(v), 6) AS value FROM x JOIN k USING (condition_key) GROUP BY ALL""")
 def aligned_layers(spark: SparkSession, d: str) -> DataFrame:
-    long = b.layers(spark, d).withColumn("molecule_id", F.lit("value"))
-    return matrix.aligned(long, LAYERS).select("condition_key", "layer", r6("value").alias("value"))
+    """Two molecules an event: its value and the day of its year."""
+    e = table(spark, d, "events")
+    cells = F.explode(F.create_map(F.lit("value"), "value", F.lit("day"), F.dayofyear("ts").cast("double"))).alias("molecule_id", "value")
+    long = e.select(F.col("event_id").alias("profile_id"), F.col("event_type").alias("layer"), F.col("user_id").alias("condition_key"), cells)
+    return matrix.aligned(long, LAYERS).select("condition_key", "layer", "molecule_id", r6("value").alias("value"))
 
 
 @query(f"""WITH {b.FACTS}, c AS (SELECT DISTINCT condition_key FROM f), p AS (SELECT condition_key, split_part(condition_key, '.', 1) AS a1, split_part(condition_key, '.', 2) AS a2,
@@ -344,37 +348,65 @@ def own_feature_ols(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query()
+# The rules once more for DuckDB, by string functions: the kind of a token is what its last brackets hold, or what follows its last
+# underscore.
+STRIP = r"regexp_replace({}, '^[\s\x0b\p{{Z}}\x85\x1c-\x1f]+|[\s\x0b\p{{Z}}\x85\x1c-\x1f]+$', '', 'g')"
+_WILD = ", ".join(f"'{w}'" for w in canon.WILD_TYPE_TOKENS)
+_TYPES = ", ".join(f"'{w}'" for w in canon.GP_TYPES)
+NO_STRESS = ", ".join(f"'{w}'" for w in canon.NO_STRESS_TOKENS)
+
+
+def canonical_sql(source: str) -> str:
+    """CTEs up to ``k`` (gp, canonical) of the distinct gp of ``source``."""
+    return f"""g0 AS (SELECT DISTINCT gp FROM {source}), t0 AS (SELECT gp, unnest(string_split(coalesce(gp, ''), ';')) AS t FROM g0), t1 AS (SELECT gp, {STRIP.format('t')} AS t FROM t0),
+t2 AS (SELECT gp, t, {STRIP.format("regexp_extract(t, '[(]([^()]*)[)]$', 1)")} AS inner_kind, {STRIP.format("regexp_extract(t, '^(.+)[(][^()]*[)]$', 1)")} AS inner_gene,
+string_split(t, '_')[-1] AS last, left(t, greatest(length(t) - length(string_split(t, '_')[-1]) - 1, 0)) AS front FROM t1),
+t3 AS (SELECT gp, t, CASE WHEN inner_gene <> '' AND regexp_full_match(inner_kind, '[A-Za-z]+') THEN [inner_gene, upper(inner_kind)]
+WHEN front <> '' AND regexp_full_match(last, '[A-Za-z]+') THEN CASE WHEN upper(last) NOT IN ({_TYPES}) AND upper(front) IN ({_TYPES}) THEN [upper(last), upper(front)] ELSE [front, upper(last)] END ELSE [t, 'EX'] END AS p FROM t2),
+t4 AS (SELECT DISTINCT gp, p[1] AS gene, p[2] AS kind FROM t3 WHERE lower(t) NOT IN ({_WILD}) AND p[2] <> 'WT' AND lower({STRIP.format('p[1]')}) NOT IN ({_WILD})),
+t5 AS (SELECT gp, string_agg(gene || '(' || kind || ')', ';' ORDER BY gene, kind) AS c FROM t4 GROUP BY 1),
+k AS (SELECT g0.gp, coalesce(c, 'none') AS canonical FROM g0 LEFT JOIN t5 ON g0.gp IS NOT DISTINCT FROM t5.gp)"""
+
+
+@query(f"WITH {canonical_sql('condition_raw')}, n AS (SELECT gp, count(*) AS n FROM condition_raw GROUP BY 1) SELECT k.gp, n, canonical FROM k JOIN n ON k.gp IS NOT DISTINCT FROM n.gp")
 def canonical_gp(spark: SparkSession, d: str) -> DataFrame:
     """Every spelling in condition_raw with its canonical form and how often it occurs."""
     return table(spark, d, "condition_raw").groupBy("gp").agg(F.count("*").alias("n")).withColumn("canonical", canon.canonical_gp(F.col("gp")))
 
 
-@query("SELECT stress, CASE WHEN stress IS NULL OR lower(trim(stress)) IN ('', 'none', 'na', 'nan', 'null', '-') THEN 'none' ELSE trim(stress) END AS canonical, count(*) AS n FROM condition_raw GROUP BY 1, 2")
+@query(f"SELECT stress, CASE WHEN stress IS NULL OR lower({STRIP.format('stress')}) IN ({NO_STRESS}) THEN 'none' ELSE {STRIP.format('stress')} END AS canonical, count(*) AS n FROM condition_raw GROUP BY 1, 2")
 def canonical_stress(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "condition_raw").groupBy("stress").agg(F.count("*").alias("n")).withColumn("canonical", canon.canonical_stress(F.col("stress")))
 
 
-@query()
+@query(f"""WITH {canonical_sql('condition_raw')} SELECT canonical AS canonical_gp, count(DISTINCT coalesce(r.gp, '<null>')) AS spellings, count(*) AS n
+FROM condition_raw r JOIN k ON r.gp IS NOT DISTINCT FROM k.gp GROUP BY 1""")
 def gp_dialects(spark: SparkSession, d: str) -> DataFrame:
     return canon.dialects(table(spark, d, "condition_raw"), "gp")
 
 
-@query("""SELECT record_id, trim(string_split(cond, '.')[1]) AS strain, trim(string_split(cond, '.')[2]) AS medium_id, CASE WHEN lower(trim(string_split(cond, '.')[3])) IN ('', 'none', 'na', 'nan', 'null', '-') THEN 'none' ELSE trim(string_split(cond, '.')[3]) END AS stress
-FROM condition_raw WHERE len(string_split(cond, '.')) = 4""")
+@query(f"""WITH s AS (SELECT record_id, string_split(cond, '.') AS p FROM condition_raw WHERE cond IS NOT NULL), q AS (SELECT record_id, p, p[4] AS gp FROM s WHERE len(p) = 4), {canonical_sql('q')}
+SELECT record_id, {STRIP.format('p[1]')} AS strain, {STRIP.format('p[2]')} AS medium_id, CASE WHEN lower({STRIP.format('p[3]')}) IN ({NO_STRESS}) THEN 'none' ELSE {STRIP.format('p[3]')} END AS stress, canonical AS gp
+FROM q JOIN k USING (gp)""")
 def parse_condition(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "condition_raw").select("record_id", canon.parse_condition(F.col("cond"), strict=False).alias("k")).where("k is not null")
-    return c.select("record_id", "k.strain", "k.medium_id", "k.stress")
+    return c.select("record_id", "k.strain", "k.medium_id", "k.stress", "k.gp")
 
 
 _AMOUNT = "'^([0-9]*\\.?[0-9]+)\\s*([A-Za-z%/]*)$'"
-_INNER = "CASE WHEN regexp_matches(trim(raw), '^[A-Za-z]+\\s*\\(\\s*[^()]+?\\s*\\)$') THEN trim(regexp_extract(trim(raw), '^[A-Za-z]+\\s*\\(\\s*([^()]+?)\\s*\\)$', 1)) ELSE trim(raw) END"
+_RAW = STRIP.format("raw")
+_INNER = f"CASE WHEN regexp_matches({_RAW}, '^[A-Za-z]+\\s*[(][^()]+[)]$') THEN {STRIP.format(f"regexp_extract({_RAW}, '[(]([^()]+)[)]$', 1)")} ELSE {_RAW} END"
 
 
-@query(f"""WITH t AS (SELECT DISTINCT raw, trim(raw) AS t, {_INNER} AS i FROM medium_component), n AS (SELECT *, CASE WHEN regexp_matches(i, {_AMOUNT}) THEN CAST(regexp_extract(i, {_AMOUNT}, 1) AS DOUBLE) END AS x, nullif(regexp_extract(i, {_AMOUNT}, 2), '') AS u FROM t)
-SELECT raw, CASE WHEN t IN ('', '0', 'no', '-') THEN 0.0 WHEN t IN ('?', 'unknown', 'na', 'yes', 'y', 'present') THEN NULL ELSE x END AS amount,
+def amount_sql(source: str) -> str:
+    """CTEs up to ``am`` (raw, amount, unit, present) of the distinct raw of ``source``."""
+    return f"""amt AS (SELECT DISTINCT raw, {_RAW} AS t, {_INNER} AS i FROM {source}), an AS (SELECT *, CASE WHEN regexp_matches(i, {_AMOUNT}) THEN CAST(regexp_extract(i, {_AMOUNT}, 1) AS DOUBLE) END AS x, nullif(regexp_extract(i, {_AMOUNT}, 2), '') AS u FROM amt),
+am AS (SELECT raw, CASE WHEN t IN ('', '0', 'no', '-') THEN 0.0 WHEN t IN ('?', 'unknown', 'na', 'yes', 'y', 'present') THEN NULL ELSE x END AS amount,
 CASE WHEN t IN ('', '0', 'no', '-', '?', 'unknown', 'na', 'yes', 'y', 'present') THEN NULL ELSE u END AS unit,
-CASE WHEN raw IS NULL OR t IN ('', '0', 'no', '-', '?', 'unknown', 'na') THEN false WHEN t IN ('yes', 'y', 'present') THEN true ELSE coalesce(x <> 0, true) END AS present FROM n""")
+CASE WHEN raw IS NULL OR t IN ('', '0', 'no', '-', '?', 'unknown', 'na') THEN false WHEN t IN ('yes', 'y', 'present') THEN true ELSE coalesce(x <> 0, true) END AS present FROM an)"""
+
+
+@query(f"WITH {amount_sql('medium_component')} SELECT raw, amount, unit, present FROM am")
 def parse_amount(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "medium_component").select("raw").distinct().withColumn("a", parse.parse_amount(F.col("raw")))
     return t.select("raw", "a.amount", "a.unit", "a.present")
@@ -389,21 +421,26 @@ def named_in_medium(spark: SparkSession, d: str) -> DataFrame:
     return c.join(m, "medium_id").select("medium_id", "component", parse.named_in(F.col("component"), F.col("base_medium"), F.col("description")).alias("named"))
 
 
-@query("SELECT strain, count(*) AS n, sum(CAST(lower(trim(coalesce(value, 'none'))) NOT IN ('no', 'none', 'na', '', '-', '?') AS BIGINT)) AS present FROM strain_feature GROUP BY 1")
+@query(f"SELECT strain, count(*) AS n, sum(CAST(lower({STRIP.format("coalesce(value, 'none')")}) NOT IN ('no', 'none', 'na', '', '-', '?') AS BIGINT)) AS present FROM strain_feature GROUP BY 1")
 def strain_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "strain_feature").groupBy("strain").agg(F.count("*").alias("n"), F.sum(parse.marker_present(F.col("value")).cast("bigint")).alias("present"))
 
 
-@query("SELECT value, CASE WHEN upper(trim(value)) NOT IN ('', 'NA', 'NAN', 'NULL') THEN TRY_CAST(trim(value) AS DOUBLE) END AS x FROM (SELECT DISTINCT value FROM strain_feature WHERE regexp_matches(value, '^[0-9. A-Za-z]*$') AND NOT regexp_matches(value, '[0-9][eEfFdDxX]|^ *[iIbBoO_]'))")
+_NUMBER = f"""CASE WHEN regexp_full_match({STRIP.format('value')}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST({STRIP.format('value')} AS DOUBLE)
+WHEN regexp_full_match(upper({STRIP.format('value')}), '[+-]?INF(INITY)?') THEN CASE WHEN {STRIP.format('value')} LIKE '-%' THEN '-inf'::DOUBLE ELSE 'inf'::DOUBLE END END"""
+
+
+@query(f"SELECT value, {_NUMBER} AS x FROM (SELECT DISTINCT value FROM strain_feature)")
 def numeric_values(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "strain_feature").select("value").distinct().where(r"value rlike '^[0-9. A-Za-z]*$' and not value rlike '[0-9][eEfFdDxX]|^ *[iIbBoO_]'")
-    return t.select("value", parse.numeric(F.col("value")).alias("x"))
+    """Every distinct value."""
+    return table(spark, d, "strain_feature").select("value").distinct().select("value", parse.numeric(F.col("value")).alias("x"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT unnest([raw, unit]) AS value FROM medium_component) SELECT value, {_NUMBER} AS x FROM (SELECT DISTINCT value FROM v)""")
 def numeric_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct value, those too that numeric_values leaves out because the two engines' casts read them differently."""
-    return table(spark, d, "strain_feature").select("value").distinct().select("value", parse.numeric(F.col("value")).alias("x"))
+    """The same over the texts and units of medium_component."""
+    c = table(spark, d, "medium_component").select(F.explode(F.array("raw", "unit")).alias("value")).distinct()
+    return c.select("value", parse.numeric(F.col("value")).alias("x"))
 
 
 @query("SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2")

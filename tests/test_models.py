@@ -1,4 +1,4 @@
-"""Models, flux, relaxation network, encoder, sources, compendium and reports."""
+"""Models, flux, encoder, sources, compendium and reports."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyomics import catalog, report
-from polyomics.operators import cv, encode, flux, models, relaxation
+from polyomics.operators import cv, encode, flux, models
 from polyomics.sources import files
 
 # ---- LASSO and consensus
@@ -82,57 +82,6 @@ def test_ols_and_calibration(spark):
 # ---- flux
 
 
-def vertices(c, a, b, lb, ub):
-    """The optimum by brute force over vertices of a small program."""
-    n, best = len(c), None
-    for free in itertools.combinations(range(n), min(len(a), n)):
-        rest = [j for j in range(n) if j not in free]
-        for ends in itertools.product(*[(lb[j], ub[j]) for j in rest]):
-            x = np.zeros(n)
-            x[rest] = ends
-            s = np.linalg.lstsq(a[:, free], b - a[:, rest] @ x[rest], rcond=None)[0]
-            x[list(free)] = s
-            if np.allclose(a @ x, b, atol=1e-7) and (x >= lb - 1e-7).all() and (x <= ub + 1e-7).all() and (best is None or c @ x < best):
-                best = c @ x
-    return best
-
-
-def test_linear_program():
-    rng = np.random.default_rng(3)
-    for _ in range(40):
-        n, m = rng.integers(3, 6), rng.integers(1, 3)
-        a, c = rng.integers(-2, 3, (m, n)).astype(float), rng.integers(-3, 4, n).astype(float)
-        lb, ub = rng.integers(-4, 1, n).astype(float), rng.integers(1, 5, n).astype(float)
-        b = a @ (lb + (ub - lb) * rng.random(n)) if rng.random() < 0.8 else rng.integers(-30, 30, m).astype(float)
-        x, want = flux.linear_program(c, a, b, lb, ub), vertices(c, a, b, lb, ub)
-        if x is None:
-            assert want is None
-        else:
-            assert np.allclose(a @ x, b, atol=1e-6) and (x >= lb - 1e-7).all() and (x <= ub + 1e-7).all()
-            if want is not None:
-                assert c @ x <= want + 1e-6
-    assert flux.linear_program(np.ones(1), np.ones((1, 1)), np.array([9.0]), np.zeros(1), np.ones(1)) is None
-
-
-MODEL = [("a", "EX_a", 1.0), ("a", "R1", -1.0), ("b", "R1", 1.0), ("a", "R2", -1.0), ("c", "R2", 1.0), ("c", "R3", -1.0), ("b", "R3", 1.0), ("b", "BIO", -1.0)]
-
-
-def test_flux_balance(spark):
-    model = spark.createDataFrame(MODEL, "metabolite string, reaction string, coefficient double")
-    base = {"EX_a": (0.0, 10.0), "R1": (0.0, 4.0), "R2": (0.0, 100.0), "R3": (0.0, 100.0), "BIO": (0.0, 100.0)}
-    cases = {"free": base, "forced": base | {"R2": (8.0, 100.0)}, "wide": base | {"R1": (0.0, 100.0)}, "none": base | {"R2": (50.0, 100.0)}}
-    bounds = spark.createDataFrame([(k, r, lo, hi) for k, b in cases.items() for r, (lo, hi) in b.items()], "condition_key string, reaction string, lb double, ub double")
-    got = {(r["condition_key"], r["reaction"]): r["flux"] for r in flux.predict(bounds, model, "BIO").collect()}
-    assert math.isclose(got["free", "R1"], 4, abs_tol=1e-6) and math.isclose(got["free", "BIO"], 10, abs_tol=1e-6)
-    assert got["forced", "R2"] >= 8 - 1e-9 and math.isclose(got["wide", "R1"], 10, abs_tol=1e-6) and math.isclose(got["wide", "R2"], 0, abs_tol=1e-6) and got["none", "BIO"] is None
-    plain = {(r["condition_key"], r["reaction"]): r["biomass"] for r in flux.predict(bounds, model, "BIO", "balance").collect()}
-    assert math.isclose(plain["free", "R1"], 10) and plain["none", "R1"] is None
-    width = {(r["condition_key"], r["reaction"]): r["flux"] for r in flux.predict(bounds.where("condition_key <> 'none'"), model, "BIO", "variability").collect()}
-    assert math.isclose(width["wide", "R1"], 10, abs_tol=1e-4) and width["free", "BIO"] < 0.11
-    v = {r[0]: r[1] for r in flux.viable(flux.predict(bounds, model, "BIO"), []).select(F.lit("x"), "viable").collect()}
-    assert v == {"x": True}
-
-
 def test_gene_rules(spark):
     d = spark.createDataFrame([({"b1": 1.0, "b2": 3.0, "b3": 2.0},)], "m map<string,double>")
     cases = {"(b1 and b2) or b3": 2.0, "b1 and b2 or b3": 2.0, "b1 and (b2 or b3)": 1.0, "b9 and b2": 3.0, "b9": None, "": None, "(b1 and b2": 1.0, "b1 and b2)) or b3": 1.0}
@@ -156,44 +105,6 @@ def test_bounds(spark):
     assert flux.reaction_levels(rx, lv).collect()[0]["level"] == 3.0
 
 
-# ---- relaxation
-
-
-def test_gradients_match_finite_differences():
-    rng = np.random.default_rng(4)
-    net = relaxation.Relaxation(depth=3, rank=2, epochs=1)
-    x, t = rng.normal(size=(5, 3)), rng.random((5, 4))
-    t[0, 0] = np.nan
-    net.fit(x, t)
-    _, g = net.gradients(x, t)
-    for k, p in enumerate(net.w):
-        for i in list(np.ndindex(p.shape))[:5]:
-            old, losses = p[i], []
-            for e in (1e-6, -1e-6):
-                p[i] = old + e
-                losses.append(net.gradients(x, t)[0])
-            p[i] = old
-            assert math.isclose((losses[0] - losses[1]) / 2e-6, g[k][i], rel_tol=1e-3, abs_tol=1e-8)
-
-
-def test_knockout_reaches_depth_less_one():
-    net = relaxation.Relaxation(depth=3)
-    n = 6
-    net.y0, net.w = np.full(n, 0.5), [np.zeros((n, 1)), np.diag(np.full(n - 1, 4.0), -1), np.eye(n), np.zeros(n)]  # a chain 0 -> 1 -> 2 ...
-    assert net.radius(0).tolist() == [0, 1, 2]
-
-
-def test_relaxation_learns(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(90, 3))
-    y = 1 / (1 + np.exp(-(x @ rng.normal(size=(3, 4)))))
-    rows = [(i, f"c{i % 9}", x[i].tolist()) for i in range(90)]
-    f = spark.createDataFrame(rows, "profile_id bigint, condition_key string, values array<double>")
-    t = spark.createDataFrame([(i, f"c{i % 9}", y[i].tolist()) for i in range(90)], "profile_id bigint, condition_key string, values array<double>")
-    p = cv.run(f, t, cv.folds(f, 3), relaxation.fold_function(depth=1, rank=2, epochs=150, lr=0.05)).toPandas()
-    assert len(p) == 360 and np.corrcoef(p.y, p.y_hat)[0, 1] > 0.95
-
-
 # ---- encoder
 
 
@@ -372,22 +283,53 @@ def test_more_of_the_models(spark):
     every = models.metabolite_edges(targets, feats, None, "all")
     c = {r["feature"]: r["coefficient"] for r in models.coefficients(feats, y, every, 0.01).collect()}
     assert max(c, key=lambda k: abs(c[k])) == "g1" and c["g1"] > 0
-    long = spark.createDataFrame([("S.M.x.none", "b", 1.0), ("S.M.x.b1(KO)", "b", 3.0), ("T.M.x.b1(KO)", "b", 8.0)], "condition_key string, molecule_id string, value double")
-    want = {"non_specific": 1.0, "specific": 2.0, "same_batch": 3.0}
-    for strategy, v in want.items():
-        got = {r["condition_key"]: r["value"] for r in models.starting_profiles(long, spark.createDataFrame([("S.M.x.b1(KO)",), ("Q.Q.Q.Q",)], "condition_key string"), strategy).collect()}
-        assert got["S.M.x.b1(KO)"] == v and got["Q.Q.Q.Q"] == (1.0 if strategy == "non_specific" else 4.0)
-    u, v = relaxation.seed_factors([(0, 1), (0, 2)], 3, 1, 1.0)
-    np.testing.assert_allclose(u @ v.T, [[0, 0, 0], [1, 0, 0], [1, 0, 0]], atol=1e-9)
-    with pytest.raises(ValueError, match="no edge"):
-        relaxation.seed_factors([], 3, 1)
-
-
-def test_threshold_sweep(spark):
-    model = spark.createDataFrame(MODEL, "metabolite string, reaction string, coefficient double")
-    base = {"EX_a": (-10.0, 10.0), "R1": (-5.0, 4.0), "R2": (-100.0, 100.0), "R3": (-100.0, 100.0), "BIO": (0.0, 100.0)}
-    bounds = spark.createDataFrame([(k, r, lo, hi) for k in ("c1", "c2") for r, (lo, hi) in base.items()], "condition_key string, reaction string, lb double, ub double")
-    levels = spark.createDataFrame([("c1", "R1", 0.5), ("c2", "R1", 0.01)], "condition_key string, reaction string, level double")
-    truth = spark.createDataFrame([(k, r, float(i)) for k in ("c1", "c2") for i, r in enumerate(base)], "condition_key string, reaction string, flux double")
-    s = flux.threshold_sweep(bounds, levels, model, "BIO", [0.0, 0.1], truth).orderBy("threshold").collect()
-    assert [r["threshold"] for r in s] == [0.0, 0.1] and all(r["viable"] for r in s) and sum(r["best"] for r in s) == 1
+    kind = "profile_id int, condition_key string, molecule_id string, value double"
+    long = spark.createDataFrame([(1, "S.M.none.none", "b", 1.0), (2, "S.M.x.b1(KO)", "b", 3.0), (3, "T.M.x.b1(KO)", "b", 8.0), (4, "T.M.x.b1(KO)", "b", 8.0)], kind)
+    keys = spark.createDataFrame([("S.M.x.b1(KO)",), ("Q.Q.Q.Q",)], "condition_key string")
+    media = spark.createDataFrame([("M", "LB", None)], "medium_id string, base_medium string, description string")
+    for strategy, where, v, other in (("non_specific", media, 1.0, 1.0), ("non_specific", None, 8.0, 8.0), ("non_specific", media.limit(0), 8.0, 8.0), ("specific", None, 2.0, 5.0), ("same_batch", None, 3.0, 5.0)):
+        got = {r["condition_key"]: r["value"] for r in models.starting_profiles(long, keys, strategy, "S", where).collect()}
+        assert got == {"S.M.x.b1(KO)": v, "Q.Q.Q.Q": other}, strategy
+
+
+def test_lasso_path_is_optimal():
+    """The conditions of the optimum hold, also with features that are alike or constant."""
+    rng = np.random.default_rng(0)
+    for k in range(40):
+        x = rng.normal(size=(rng.integers(5, 60), rng.integers(3, 40)))
+        y = x[:, 0] + rng.normal(size=len(x))
+        if k % 5 == 0:
+            x[:, 1] = x[:, 0]
+        if k % 7 == 0:
+            x[:, -1] = 3.0
+        alpha = 10 ** rng.uniform(-3, 0)
+        b, _, ok = models.lasso(x, y, alpha)
+        z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+        r = z.T @ (y - y.mean() - z @ b) / len(y)
+        assert ok and (np.abs(r) <= alpha + 1e-8).all() and np.allclose(r[b != 0], alpha * np.sign(b[b != 0]), atol=1e-8)
+
+
+def test_folds_by_label(spark):
+    keys = spark.createDataFrame([(f"s{i % 4}.m{i % 7}.none.none",) for i in range(28)] + [(None,)], "condition_key string")
+    medium = lambda c: F.split_part(c, F.lit("."), F.lit(2))
+    for n in (None, 3, 7):
+        f = {r["condition_key"]: r["fold"] for r in cv.folds(keys, n, label=medium).collect()}
+        groups = {}
+        for key, fold in f.items():
+            groups.setdefault(key.split(".")[1], set()).add(fold)
+        assert len(f) == 28 and all(len(v) == 1 for v in groups.values()) and {min(v) for v in groups.values()} == set(range(n or 7))
+
+
+def test_predictions_are_kept(spark, tmp_path):
+    from polyomics import catalog
+
+    kind = "profile_id int, condition_key string, molecule_id string, value double"
+    long = spark.createDataFrame([(i, f"s.m.none.{'none' if i % 2 else 'b1(KO)'}", "g", float(i)) for i in range(6)], kind)
+    fold = spark.createDataFrame([("s.m.none.none", 0), ("s.m.none.b1(KO)", 1)], "condition_key string, fold bigint")
+    p = cv.out_of_fold_baselines(long, fold)
+    assert cv.out_of_fold_baselines(long, fold, 4).count() == 0
+    catalog.save_predictions(p, f"{tmp_path}/p")
+    catalog.save_predictions(p.where("predictor = 'mean'"), f"{tmp_path}/p")
+    back = catalog.saved_predictions(spark, f"{tmp_path}/p")
+    assert back.count() == 12 and catalog.saved_predictions(spark, f"{tmp_path}/p", ["mean"]).count() == 6
+    assert {(r["predictor"], r["fold"], r["y_hat"]) for r in back.collect()} == {("mean", 0, 2.0), ("mean", 1, 3.0), ("wild_type", 0, 2.0), ("wild_type", 1, 3.0)}

@@ -201,7 +201,8 @@ def test_cells(spark):
     assert u == [("strain", "SR1", "ampR", "unreadable"), ("strain", "SR1", "count_no", "conflict")]
     w = wide.project(m, {f: k for f, k, _ in DEFS})
     r = w.collect()[0]
-    assert dict(w.dtypes)["size"] == "double" and dict(w.dtypes)["made_on"] == "date" and r["size"] == 1.5 and str(r["made_on"]) == "2001-02-03" and r["conflicts"] == ["count_no"] and r["unreadable"] == ["ampR"]
+    assert dict(w.dtypes)["size"] == "double" and dict(w.dtypes)["made_on"] == "date" and r["size"] == 1.5 and str(r["made_on"]) == "2001-02-03" and [tuple(c) for c in r["conflicts"]] == [("count_no", "5", "6")] and r["unreadable"] == ["ampR"]
+    assert [tuple(c) for c in r["failures"]] == [("ampR", "weak?", 1), ("made_on", "soon", 1)]
     assert cells(spark, [])[0].count() == 0
 
 

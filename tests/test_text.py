@@ -73,7 +73,7 @@ def test_numeric_hard_texts(values):
     assert values(parse.numeric, texts) == [23.0, 90.14, -0.001, 0.5, 5.0, None, None, None, None, None, None, None, inf, -inf, None, None]
 
 
-def test_numeric_texts_is_every_value(spark):
+def test_numeric_values_is_every_value(spark):
     from polyomics.plans import core
 
     def brute(v):
@@ -83,6 +83,6 @@ def test_numeric_texts_is_every_value(spark):
             return None
 
     d = "/root/testdata/sf0.01"
-    rows = core.numeric_texts(spark, d).collect()
+    rows = core.numeric_values(spark, d).collect()
     assert len(rows) == spark.read.parquet(f"{d}/strain_feature.parquet").select("value").distinct().count()
     assert [r["x"] for r in rows] == [brute(r["value"]) for r in rows]
