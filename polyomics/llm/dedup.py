@@ -6,13 +6,16 @@ Characters, case, blanks, punctuation and the order of members are canonicalised
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from polyomics.session import materialize
 
-# Perturbation types, and the comparable spellings of wild type and of no stress.
-TYPES = ["ko", "oe", "in", "var", "rm", "ex"]
+# The comparable spellings of wild type and of no stress.
 WILD_TYPE = ["", "none", "na", "wt", "nawt", "wtna", "nan", "null"]
 NO_STRESS = ["", "none", "na", "nan", "null"]
 
@@ -24,6 +27,19 @@ TYPE_FIRST = rf"^\s*[(\[]*\s*({_TYPE})\s*[)\]]*[_:\-\s]\s*(\S.*)$"
 HASHES = ["h1", "h2"]
 
 
+@F.pandas_udf(StringType())
+def _compatible(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+
+
+def canonical_characters(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in compatibility form with case folded: full-width letters, ligatures and combined accents as their plain forms.
+
+    Only rows with a character beyond ASCII need that, for which Spark has no function; they alone pass through Python, in batches."""
+    odd = F.concat_ws("", *columns).rlike(r"[^\x00-\x7f]")
+    return df.where(~odd).unionByName(df.where(odd).withColumns({c: _compatible(c) for c in columns}))
+
+
 def letters_digits(c: Column) -> Column:
     """Only letters and digits, in lower case; null as blank."""
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", ""))
@@ -62,14 +78,15 @@ def canonical_conditions(conditions: DataFrame) -> DataFrame:
     parts = F.split("cond", r"\.", -1)
     part = lambda k, name: F.when(F.col("cond").isNotNull(), F.get(parts, F.lit(k))).otherwise(F.col(name))
     c = conditions.where("record_id is not null").where(F.col("cond").isNull() | (F.size(parts) == 4))
-    c = c.select(F.col("record_id").alias("id"), *[part(k, n).alias(n) for k, n in enumerate(["strain", "medium_id", "stress", "gp"])])
+    names = ["strain", "medium_id", "stress", "gp"]
+    c = canonical_characters(c.select(F.col("record_id").alias("id"), *[part(k, n).alias(n) for k, n in enumerate(names)]), names)
     return c.select("id", F.concat_ws("\n", letters_digits(F.col("strain")), letters_digits(F.col("medium_id")), stress_set(F.col("stress")), perturbation_set(F.col("gp"))).alias("canon"))
 
 
 def canonical_perturbations(perturbations: DataFrame) -> DataFrame:
     """id, canon of each of ``perturbations`` (pert_id, study_id, gene, type): study, and gene and type in either order. Null fields are blank."""
     pair = F.array_sort(F.array(letters_digits(F.col("gene")), letters_digits(F.col("type"))))
-    p = perturbations.where("pert_id is not null")
+    p = canonical_characters(perturbations.where("pert_id is not null").select("pert_id", "study_id", "gene", "type"), ["study_id", "gene", "type"])
     return p.select(F.col("pert_id").alias("id"), F.concat_ws("\n", letters_digits(F.col("study_id")), F.array_join(pair, "|")).alias("canon"))
 
 
@@ -102,3 +119,10 @@ def copies(records: DataFrame, hot: int = 100_000) -> DataFrame:
     of_big = r.where("big_id is not null").select(F.col("big_id").alias("keep_id"), F.col("id").alias("copy_id"))
     rest = r.where("big_id is null").drop("big_id").join(g.where(F.col("copies") < limit), keys).select("keep_id", F.col("id").alias("copy_id"))
     return of_big.unionByName(rest).where("copy_id > keep_id")
+
+
+def collisions(records: DataFrame) -> DataFrame:
+    """records, texts, collisions, in one row: how many rows and canonical texts there are, and how many pairs of hashes stand for more than
+    one text by the third fingerprint, which keeps these apart in :func:`groups`."""
+    g = records.groupBy(*HASHES, "mark").agg(F.count("*").alias("n")).groupBy(*HASHES).agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.count_if(F.col("texts") > 1).alias("collisions"))

@@ -44,15 +44,24 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def p5_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """The collision check of both tables."""
+    found = [dedup.collisions(r).withColumn("record_table", F.lit(name)) for name, r in _records(spark, d).items()]
+    return found[0].unionByName(found[1])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    target = table(spark, d, "mix_target")
-    named = table(spark, d, "documents").join(F.broadcast(target.select("source").distinct()), "source", "left_semi")
-    streamed = materialize(mixture.stream(materialize(bpe.count(named), "counted")), "streamed")
-    planned = materialize(mixture.plan(streamed, target), "planned")
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the sources the target list names."""
+    return table(spark, d, "documents").join(F.broadcast(table(spark, d, "mix_target").select("source").distinct()), "source", "left_semi")
+
+
+def _mixture(spark: SparkSession, d: str, whole_corpus: bool = False) -> tuple[DataFrame, DataFrame]:
+    streamed = materialize(mixture.stream(materialize(bpe.count(_named(spark, d)), "counted")), "streamed")
+    planned = materialize(mixture.plan(streamed, table(spark, d, "mix_target"), whole_corpus=whole_corpus), "planned")
     return mixture.mix(streamed, planned), planned
 
 
@@ -64,11 +73,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(*_mixture(spark, d))
 
 
+def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture as blocks of token ids."""
+    return mixture.blocks(_mixture(spark, d)[0], bpe.encode(_named(spark, d)))
+
+
+def p7_long(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture as long as the corpus, small sources capped."""
+    return _mixture(spark, d, True)[0]
+
+
+def p7_long_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(*_mixture(spark, d, True))
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p5_collisions": p5_collisions, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_blocks": p7_blocks, "p7_long": p7_long, "p7_long_shares": p7_long_shares, "p8_pieces": p8_pieces}
 
 
 def _quoted(words: list[str]) -> str:
@@ -95,5 +118,6 @@ UNION ALL SELECT 'perturbation', pert_id, concat({_PLAIN.format('study_id')}, ch
 #: The same by windows over whole groups, for one machine.
 SQL: dict[str, str] = {
     "p5_found": f"{_CANON} SELECT record_table, keep_id, id AS copy_id FROM (SELECT *, min(id) OVER (PARTITION BY record_table, canon) AS keep_id FROM c) WHERE id > keep_id",
+    "p5_collisions": f"{_CANON} SELECT record_table, count(*) AS records, count(DISTINCT canon) AS texts, 0 AS collisions FROM c GROUP BY 1",
     "p5_groups": f"{_CANON} SELECT record_table, min(id) AS keep_id, count(*) AS copies FROM c GROUP BY record_table, canon",
 }
