@@ -165,9 +165,16 @@ def test_perturbations(spark):
     assert sorted(r["copies"] for r in dedup.groups(h).collect()) == [1, 1, 2, 2]
 
 
+def test_characters(spark):
+    rows = [(None, "Ｂｊ８６０７", "MD1", "heat", "b0069(KO)"), (None, "BJ8607", "ｍｄ１", "Heat", "B0069（ＫＯ）"), (None, "caf\u00e9", "m", "-", "wt"), (None, "cafe\u0301", "m", "-", "wt"), (None, "ﬁx", "m", "-", "wt"), (None, "FIX", "m", "-", "wt"), (None, "cafe", "m", "-", "wt")]
+    assert copies(spark, rows) == [(1, 2), (3, 4), (5, 6)]
+
+
 def test_colliding_hashes_stay_apart(spark):
     h = spark.createDataFrame([(1, 5, 5, 1), (2, 5, 5, 2), (3, 5, 5, 1)], "id bigint, h1 bigint, h2 bigint, mark bigint")
     assert [tuple(r) for r in dedup.copies(h).collect()] == [(1, 3)]
+    assert dedup.collisions(h).collect()[0].asDict() == {"records": 3, "texts": 2, "collisions": 1}
+    assert dedup.collisions(h.limit(0)).collect()[0].asDict() == {"records": 0, "texts": 0, "collisions": 0}
 
 
 # ---- problem 6
@@ -222,11 +229,11 @@ def test_memory_is_bounded(monkeypatch, reference):
 # ---- problem 7
 
 
-def mixed(spark, docs, target, block=100, total=None, bucket=7):
+def mixed(spark, docs, target, block=100, total=None, bucket=7, whole=False):
     c = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(docs)], "doc_id bigint, source string, n_tokens bigint")
     t = spark.createDataFrame(target, "source string, target_share double, max_repeats bigint")
     s = mixture.stream(c, bucket_rows=bucket).cache()
-    p = mixture.plan(s, t, block, total).cache()
+    p = mixture.plan(s, t, block, total, whole).cache()
     return s, p, mixture.mix(s, p, block).cache()
 
 
@@ -246,7 +253,7 @@ def test_mixture(spark):
     rng = random.Random(2)
     docs = [("big", rng.randint(1, 400)) for _ in range(600)] + [("mid", rng.randint(1, 300)) for _ in range(200)] + [("tiny", 150)] * 4 + [("other", 50)] * 10
     target = [("big", 0.4, 1), ("mid", 0.5, 3), ("tiny", 0.05, 2), ("gone", 0.05, 9)]
-    s, p, m = mixed(spark, docs, target)
+    s, p, m = mixed(spark, docs, target, whole=True)
     plan = {r["source"]: r for r in p.collect()}
     assert plan["gone"]["weight"] == 0 and plan["tiny"]["capped"] and not plan["big"]["capped"]
     rows = m.collect()
@@ -275,6 +282,25 @@ def test_shorter_mixture_has_exact_shares(spark):
     assert abs(shares["tiny"] - 0.1) < 0.03
 
 
+def test_every_share_is_met_by_default(spark):
+    rng = random.Random(3)
+    docs = [("big", rng.randint(1, 400)) for _ in range(900)] + [("mid", rng.randint(1, 300)) for _ in range(300)] + [("tiny", 150)] * 40
+    target = [("big", 0.45, 1), ("mid", 0.4, 3), ("tiny", 0.05, 2), ("gone", 0.1, 9)]
+    s, p, m = mixed(spark, docs, target)
+    shares = {r["source"]: r for r in mixture.shares(m, p).collect()}
+    slots = m.select("slot").distinct().count()
+    assert slots > 100 and not any(r["capped"] for r in shares.values())
+    for name, share in (("big", 0.45), ("mid", 0.4), ("tiny", 0.05)):
+        assert abs(shares[name]["reached_share"] - share / 0.9) <= 2 / slots, name
+        assert shares[name]["repeats"] <= shares[name]["max_repeats"]
+    ids = spark.createDataFrame([(r["doc_id"], [r["doc_id"] * 1000 + k for k in range(r["n_tokens"])]) for r in s.collect()], "doc_id bigint, ids array<int>")
+    cut = {r["slot"]: r["ids"] for r in mixture.blocks(m, ids).collect()}
+    rows = defaultdict(list)
+    for r in m.orderBy("slot", "place").collect():
+        rows[r["slot"]] += [r["doc_id"] * 1000 + k for k in range(r["first_token"], r["first_token"] + r["n_tokens"])]
+    assert cut == rows and {len(v) for v in cut.values()} == {100}
+
+
 def test_mixture_of_nothing(spark):
     for docs, target in (([], [("a", 1.0, 1)]), ([("a", 500)], []), ([("a", 500)], [("b", 1.0, 1)]), ([("a", 500)], [("a", 1.0, 0)])):
         _, p, m = mixed(spark, docs, target)
