@@ -59,39 +59,40 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").join(F.broadcast(table(spark, d, "mix_target").select("source").distinct()), "source", "left_semi")
 
 
-def _mixture(spark: SparkSession, d: str, whole_corpus: bool = False) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, d: str, whole_corpus: bool) -> tuple[DataFrame, DataFrame]:
     streamed = materialize(mixture.stream(materialize(bpe.count(_named(spark, d)), "counted")), "streamed")
     planned = materialize(mixture.plan(streamed, table(spark, d, "mix_target"), whole_corpus=whole_corpus), "planned")
     return mixture.mix(streamed, planned), planned
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d)[0]
+    """The mixture as long as the corpus, small sources capped."""
+    return _mixture(spark, d, True)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.shares(*_mixture(spark, d))
+    return mixture.shares(*_mixture(spark, d, True))
 
 
 def p7_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The mixture as blocks of token ids."""
-    return mixture.blocks(_mixture(spark, d)[0], bpe.encode(_named(spark, d)))
+    return mixture.blocks(_mixture(spark, d, True)[0], bpe.encode(_named(spark, d)))
 
 
-def p7_long(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture as long as the corpus, small sources capped."""
-    return _mixture(spark, d, True)[0]
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The longest mixture in which every share is met; its length is set by the source that runs out first."""
+    return _mixture(spark, d, False)[0]
 
 
-def p7_long_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.shares(*_mixture(spark, d, True))
+def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(*_mixture(spark, d, False))
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p5_collisions": p5_collisions, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_blocks": p7_blocks, "p7_long": p7_long, "p7_long_shares": p7_long_shares, "p8_pieces": p8_pieces}
+QUERIES = {"p2_found": p2_found, "p2_unmatched": p2_unmatched, "p5_found": p5_found, "p5_groups": p5_groups, "p5_collisions": p5_collisions, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_blocks": p7_blocks, "p7_exact": p7_exact, "p7_exact_shares": p7_exact_shares, "p8_pieces": p8_pieces}
 
 
 def _quoted(words: list[str]) -> str:
