@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyomics.operators import impute, units, wide
+from polyomics.plans import problem_sql
 from polyomics.plans.registry import table
 from polyomics.session import materialize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.same_quantity(p1_quantities(spark, d))
+    return units.same_quantity(_quantities(spark, d))
 
 
 def p1_quantities(spark: SparkSession, d: str) -> DataFrame:
+    return _quantities(spark, d).withColumns({c: F.round(c, 6) for c in ("number", "value")})
+
+
+def _quantities(spark: SparkSession, d: str) -> DataFrame:
     return units.quantities(table(spark, d, "medium_component"), table(spark, d, "medium"), table(spark, d, "component_ref"))
 
 
@@ -69,7 +74,7 @@ n AS (SELECT layer, run_id, own, count(*) AS n FROM r WHERE own IS NOT NULL AND
 f AS (SELECT r.*, coalesce(own, mode) AS key FROM r LEFT JOIN b USING (layer, run_id)),
 c AS (SELECT profile_id, layer, key, molecule_id, CASE WHEN live THEN v[idx + 1] END AS x FROM f JOIN layer_axis USING (layer)),
 h AS (SELECT layer, key, molecule_id, count(x) AS h FROM c WHERE key IS NOT NULL GROUP BY ALL)"""
-SQL: dict[str, str] = {
+SQL: dict[str, str] = problem_sql.SQL | {
     "p3_found": f"""{_GAPS}
 SELECT profile_id, 'condition_key' AS field_name, coalesce(key, 'unfilled') AS outcome FROM f WHERE own IS NULL
 UNION ALL SELECT profile_id, molecule_id, CASE WHEN coalesce(h, 0) > 0 THEN 'filled' ELSE 'unfilled' END FROM c LEFT JOIN h USING (layer, key, molecule_id) WHERE x IS NULL""",
