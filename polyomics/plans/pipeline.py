@@ -73,10 +73,17 @@ def rma(spark: SparkSession, d: str) -> DataFrame:
     return normalize.rma(e.select("profile_id", "molecule_id", "value"), layout).select("probeset", "profile_id", r6("value").alias("value"))
 
 
-@query
+@query(sql=f"""WITH {b.CELLS}, s AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY value) AS g FROM e), t AS (SELECT condition_key, g, avg(value) AS x FROM s GROUP BY 1, 2),
+p AS (SELECT condition_key, profile_id, molecule_id, value AS x, t.x AS y FROM s JOIN t USING (condition_key, g)), d AS (SELECT a.profile_id, a.molecule_id, a.x AS x0, z.x, z.y, abs(z.x - a.x) AS dd,
+row_number() OVER (PARTITION BY a.profile_id, a.molecule_id ORDER BY abs(z.x - a.x), z.x) AS o, greatest(3, ceil(0.35 * count(*) OVER (PARTITION BY a.profile_id, a.molecule_id))) AS k FROM p a JOIN p z USING (profile_id)),
+w AS (SELECT *, pow(1 - pow(dd / h, 3), 3) AS w FROM (SELECT *, max(dd) OVER (PARTITION BY profile_id, molecule_id) AS h FROM d WHERE o <= k)),
+c AS (SELECT profile_id, molecule_id, max(x0) AS x0, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM w GROUP BY 1, 2),
+v AS (SELECT profile_id, molecule_id, sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (x - mx) * (y - my)) AS sxy FROM w JOIN c USING (profile_id, molecule_id) GROUP BY 1, 2),
+l AS (SELECT condition_key AS platform, profile_id, molecule_id, my + CASE WHEN sxx > 1e-12 THEN sxy / sxx ELSE 0 END * (c.x0 - mx) AS value FROM c JOIN v USING (profile_id, molecule_id) JOIN p USING (profile_id, molecule_id))
+SELECT platform, profile_id, molecule_id, round((value - avg(value) OVER q) / (stddev_pop(value) OVER q + 1e-9), 5) AS value FROM l WINDOW q AS (PARTITION BY platform)""")
 def platform_correction(spark: SparkSession, d: str) -> DataFrame:
     e = b.cells(spark, d).select(F.col("condition_key").alias("platform"), "profile_id", "molecule_id", "value")
-    return normalize.correct_platform_bias(e).select("platform", "profile_id", "molecule_id", r6("value").alias("value"))
+    return normalize.correct_platform_bias(e).select("platform", "profile_id", "molecule_id", F.round("value", 5).alias("value"))
 
 
 @query
