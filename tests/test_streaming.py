@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from datetime import datetime
 
 from polyomics.streaming import ingest
@@ -21,3 +22,13 @@ def test_append(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["cells"] for r in spark.table("counts").collect()) == 5
+
+
+def test_written_folders_are_discarded(spark):
+    from polyomics import session
+
+    df = session.materialize(spark.range(5), "five")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 5 and os.path.isdir(path)
+    session.discard(spark)
+    assert not os.path.exists(path) and not session._written
