@@ -125,15 +125,14 @@ class Words(dict):
 
     def search(self, data: bytes) -> list[int]:
         """The ids of a word's bytes, from longest matches with steps back. What is found about pairs and beginnings is kept."""
-        n, length, pairs, begins = len(data), self.length, self.pairs, self.begins
-        longest = [-1] * n
-        for end, token in self.automaton.iter(data.decode("latin-1")):
-            longest[end + 1 - length[token]] = token  # those that end later are longer
+        text, n, length, pairs, begins = data.decode("latin-1"), len(data), self.length, self.pairs, self.begins
         if len(pairs) > PAIRS:
             pairs.clear()
+        matches = self.automaton.iter_long  # longest matches one after the other: every byte is a token, so none is left out
+        found = matches(text)
         dead = bytearray(n + 1)
         path: list[int] = []
-        at, last, token = 0, -1, longest[0]
+        at, last, token = 0, -1, next(found)[1]
         while True:
             end = at + length[token]
             if not dead[end]:
@@ -145,8 +144,12 @@ class Words(dict):
                     path.append(token)
                     if end == n:
                         return path
-                    at, last, token = end, token, longest[end]
+                    at, last = end, token
+                    if found is None:
+                        found = matches(text, end)
+                    token = next(found)[1]
                     continue
+            found = None  # from here on a shorter token, after which the longest matches begin anew
             while True:
                 nxt = begins.get(token)
                 if nxt is None:
