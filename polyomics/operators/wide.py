@@ -103,18 +103,18 @@ def medium_cells(components: DataFrame, media: DataFrame, reference: DataFrame)
     """One row per medium: entity and cells, as :func:`strain_cells`, from the quantities of problem 1.
 
     value is the smallest of the non-zero quantities in the common unit if all agree within 2 %, as text; else ``conflict``, between lowest
-    and highest. A cell without any non-zero quantity is ``silent``. failed is a number with its unit that couldn't be brought to the common
-    one. Null media and unknown components give no cell.
+    and highest. A cell without any non-zero quantity is ``silent``. failed is the smallest number that couldn't be brought to the common
+    unit. Null media and unknown components give no cell.
     """
     q = quantities(components, media, reference).where("medium_id is not null and outcome <> 'unknown_component' and component is not null")
     q = q.join(F.broadcast(reference.select("component").distinct()), "component", "left_semi")
     v = F.when(F.col("value") > 0, F.col("value"))
-    failed = F.when(F.col("outcome").isin("no_unit", "unknown_unit"), F.concat_ws(" ", "number", "unit"))
+    failed = F.when(F.col("outcome").isin("no_unit", "unknown_unit"), F.col("number"))  # a number, so that the aggregation needs no sort
     c = q.groupBy(F.col("medium_id").alias("entity"), F.col("component").alias("attribute")).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.min(failed).alias("failed"), F.count(failed).alias("n_failed"))
     apart = F.col("hi") - F.col("lo") > TOLERANCE * F.col("hi")
     outcome = F.when(F.col("lo").isNull(), "silent").when(apart, "conflict").otherwise("value")
     text = lambda x: x.cast("string")
-    return _maps(c.select("entity", "attribute", text(F.when(~apart, F.col("lo"))).alias("value"), outcome.alias("outcome"), text(F.col("lo")).alias("lowest"), text(F.col("hi")).alias("highest"), "failed", "n_failed"))
+    return _maps(c.select("entity", "attribute", text(F.when(~apart, F.col("lo"))).alias("value"), outcome.alias("outcome"), text(F.col("lo")).alias("lowest"), text(F.col("hi")).alias("highest"), text(F.col("failed")).alias("failed"), "n_failed"))
 
 
 def _maps(cells: DataFrame) -> DataFrame:
