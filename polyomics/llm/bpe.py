@@ -54,28 +54,49 @@ def pattern() -> re.Pattern:
     return re.compile(f" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{BLANK}{letters}{numbers}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
 
 
+#: The same for texts in ASCII. ``re`` has one table for these classes, and tries hundreds of ranges at the end of a run for the others.
+ASCII_PATTERN = re.compile(r" ?[A-Za-z]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+
+
+class Followers(dict):
+    """Token -> the followers of that token if it may follow this one, else None; found when asked for. -1 is a word's start."""
+
+    __slots__ = ("words", "token")
+
+    def __init__(self, words: Words, token: int) -> None:
+        self.words, self.token = words, token
+
+    def __missing__(self, token: int) -> Followers | None:
+        words = self.words
+        words.pairs += 1
+        ok = words.compatible(self.token, token) if self.token >= 0 else words.usable(token)
+        self[token] = out = words.followers(token) if ok else None
+        return out
+
+
 class Words(dict):
     """Word of the pattern -> its token ids as bytes of 32-bit integers; a word that isn't there is encoded when asked for."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+            self.ranks = {base64.b64decode(t).decode("latin-1"): int(r) for t, r in (line.split() for line in f if line.strip())}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.length = {r: len(t) for t, r in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token, rank)
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
+        self.pairs = 0
+        self.followed: dict[int, Followers] = {}
         self.begins: dict[int, int] = {}
         self.sound: dict[int, bool] = {}
-        self.edges: tuple[dict, dict] = ({}, {})
+        self.edges: tuple[dict, dict] = ({}, {})  # by side, as edge() gives them
 
-    def merged(self, data: bytes, below: int = NO_RANK) -> list[bytes]:
+    def merged(self, data: str, below: int = NO_RANK) -> list[str]:
         """The parts the merges of a rank lower than ``below`` leave, by definition: the adjacent pair of lowest rank first, the
         left one of equals. For a token or two, not for texts."""
-        parts = [data[i : i + 1] for i in range(len(data))]
+        parts = list(data)
         while len(parts) > 1:
             rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NO_RANK), i) for i in range(len(parts) - 1))
             if rank >= below:
@@ -83,33 +104,43 @@ class Words(dict):
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
-        """The parts that stand at the left (0) or right (1) end of a token while it grows, the whole first, each with the rank of
-        the merge that takes it up."""
-        out = self.edges[side].get(token)
-        if out is None:
-            out, part, rank = [], self.tokens[token], token
-            taken = NO_RANK
-            while True:
-                out.append((part, taken))
-                if len(part) == 1:
-                    break
-                taken = rank
-                part = self.merged(part, rank)[-side]
-                rank = self.ranks[part]
-            self.edges[side][token] = out
-        return out
+    def edge(self, token: int, side: int) -> tuple:
+        """The parts that stand at the left (0) or right (1) end of a token while it grows, linked from the whole to the byte: part, the
+        rank of the merge that makes it, -1 for a byte, that of the one that takes it up, and the next part."""
+        out, part, rank, taken = [], self.tokens[token], token, NO_RANK
+        while len(part) > 1:
+            out.append((part, rank, taken))
+            part, taken = self.merged(part, rank)[-side], rank
+            rank = self.ranks[part]
+        linked: tuple = (part, -1, taken, None)
+        for x in reversed(out):
+            linked = (*x, linked)
+        self.edges[side][token] = linked
+        return linked
 
     def compatible(self, a: int, b: int) -> bool:
         """May b follow a? Not if, while both grow, a part at the end of a and one at the start of b would be merged with each
-        other before either is taken up by its own token."""
-        ranks = self.ranks.get
-        for y, y_taken in self.edge(b, 0):
-            for x, x_taken in self.edge(a, 1):
-                rank = ranks(x + y)
-                if rank is not None and rank < x_taken and rank <= y_taken:
-                    return False
-        return self.usable(b)
+        other before either is taken up by its own token. Only parts that are there at the same time are tried: from the two whole
+        tokens back, the merge of the higher rank is undone first, of equals that of b, which is the later."""
+        ranks, (starts, ends) = self.ranks, self.edges
+        x, x_made, x_taken, x_next = ends.get(a) or self.edge(a, 1)
+        y, y_made, y_taken, y_next = starts.get(b) or self.edge(b, 0)
+        while True:
+            both = x + y
+            if both in ranks and (rank := ranks[both]) < x_taken and rank <= y_taken:
+                return False
+            if x_made > y_made:
+                x, x_made, x_taken, x_next = x_next
+            elif y_next:
+                y, y_made, y_taken, y_next = y_next
+            else:
+                return self.usable(b)
+
+    def followers(self, token: int) -> Followers:
+        out = self.followed.get(token)
+        if out is None:
+            out = self.followed[token] = Followers(self, token)
+        return out
 
     def usable(self, a: int) -> bool:
         """Do the merges of the token's own bytes give it?"""
@@ -123,49 +154,48 @@ class Words(dict):
         data = self.tokens[token]
         return next((self.ranks[data[:k]] for k in range(len(data) - 1, 0, -1) if data[:k] in self.ranks), -1)
 
-    def search(self, data: bytes) -> list[int]:
-        """The ids of a word's bytes, from longest matches with steps back. What is found about pairs and beginnings is kept."""
-        text, n, length, pairs, begins = data.decode("latin-1"), len(data), self.length, self.pairs, self.begins
-        if len(pairs) > PAIRS:
-            pairs.clear()
-        matches = self.automaton.iter_long  # longest matches one after the other: every byte is a token, so none is left out
-        found = matches(text)
-        dead = bytearray(n + 1)
+    def search(self, text: str) -> list[int]:
+        """The ids of a word's bytes, read as Latin-1, from longest matches with steps back. What is found about pairs and beginnings
+        is kept."""
+        if self.pairs > PAIRS:
+            self.pairs = 0
+            self.followed.clear()
+        length, begins, matches = self.length, self.begins, self.automaton.iter_long
+        dead = bytearray(len(text) + 1)
         path: list[int] = []
-        at, last, token = 0, -1, next(found)[1]
+        at, here = 0, self.followers(-1)
         while True:
-            end = at + length[token]
-            if not dead[end]:
-                pair = last << 32 | token
-                ok = pairs.get(pair)
-                if ok is None:
-                    ok = pairs[pair] = self.compatible(last, token) if last >= 0 else self.usable(token)
-                if ok:
-                    path.append(token)
-                    if end == n:
-                        return path
-                    at, last = end, token
-                    if found is None:
-                        found = matches(text, end)
-                    token = next(found)[1]
-                    continue
-            found = None  # from here on a shorter token, after which the longest matches begin anew
-            while True:
+            for stop, token in matches(text, at):  # longest matches one after the other: every byte is a token, so none is left out
+                after = here[token]
+                if after is None or dead[stop + 1]:
+                    break
+                path.append(token)
+                here = after
+            else:
+                return path
+            at = stop + 1 - length[token]
+            while True:  # from here on a shorter token, after which the longest matches begin anew
                 nxt = begins.get(token)
                 if nxt is None:
                     nxt = begins[token] = self.shorter(token)
                 token = nxt
-                if token >= 0:
-                    break
-                dead[at] = 1  # nothing fits here: step back
-                token = path.pop()
-                at -= length[token]
-                last = path[-1] if path else -1
+                if token < 0:
+                    dead[at] = 1  # nothing fits here: step back
+                    token = path.pop()
+                    at -= length[token]
+                    here = self.followers(path[-1] if path else -1)
+                elif not dead[at + length[token]]:
+                    after = here[token]
+                    if after is not None:
+                        break
+            path.append(token)
+            at += length[token]
+            here = after
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode("utf-8", "replace")
-        rank = self.ranks.get(data)
-        ids = [rank] if rank is not None and self.usable(rank) else self.search(data)
+        text = word if word.isascii() else word.encode("utf-8", "replace").decode("latin-1")
+        rank = self.ranks.get(text)
+        ids = [rank] if rank is not None and self.usable(rank) else self.search(text)
         if len(self) > REMEMBERED:
             self.clear()
         self[word] = packed = array("i", ids).tobytes()
@@ -178,7 +208,11 @@ class Encoder(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         self.words = Words(path)
-        self.split = pattern().findall
+        self.ascii, self.any = ASCII_PATTERN.findall, pattern().findall
+
+    def split(self, chunk: str) -> list[str]:
+        """The words of the pattern."""
+        return self.ascii(chunk) if chunk.isascii() else self.any(chunk)
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > REMEMBERED:

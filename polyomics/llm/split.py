@@ -31,6 +31,13 @@ ATOM = 64
 KINDS = ["part", "paragraph", "line", "sentence", "word", "inside"]
 PART = re.compile(r"--|==|__|\*\*\*|~~~|From:|Content-Type:")
 SENTENCE_END = re.compile(r"[.!?…:;。！？][\"'»”’)\]]*$")
+#: The signs a sentence can end in.
+LAST = frozenset(".!?…:;。！？\"'»”’)]")
+
+
+def ends_sentence(text: str) -> bool:
+    """Of a text that isn't empty. Most texts end in none of the signs, so that the pattern needn't look for them."""
+    return text[-1] in LAST and SENTENCE_END.search(text) is not None
 
 
 class Boundaries(dict):
@@ -42,7 +49,7 @@ class Boundaries(dict):
         kind = 4 if not breaks else 0 if PART.match(body) else 1 if breaks > 1 else 2
         if len(self) > 300_000:
             self.clear()
-        self[chunk] = code = kind + 8 * bool(SENTENCE_END.search(chunk))
+        self[chunk] = code = kind + 8 * ends_sentence(chunk)
         return code
 
 
@@ -72,7 +79,7 @@ def atoms(enc: Encoder, chunk: str) -> list[tuple[str, int, int]]:
                 lead, lead_n = lead + text, lead_n + n  # the last blanks stay with what follows
                 continue
             ended = bool(out) and out[-1][2] >= 8 and k == 0
-            out.append((lead + text, lead_n + n, (3 if ended else 5) + 8 * bool(SENTENCE_END.search(text))))
+            out.append((lead + text, lead_n + n, (3 if ended else 5) + 8 * ends_sentence(text)))
             lead, lead_n = "", 0
     if lead:
         out.append((lead, lead_n, 5))

@@ -394,3 +394,62 @@ def test_runs_of_apostrophes_are_cut(spark):
     got = split.split(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     assert {r["doc_id"] for r in got} == {0, 1, 2, 3}
     assert all(r["n_tokens"] <= split.LIMIT and n(r["text"]) == r["n_tokens"] for r in got)
+
+
+# ---- cost of problems 6 and 8
+
+
+class Asked(dict):
+    """A dict that counts how often it is asked whether it has a key."""
+
+    n = 0
+
+    def get(self, *key):
+        self.n += 1
+        return super().get(*key)
+
+    def __contains__(self, key):
+        self.n += 1
+        return super().__contains__(key)
+
+
+@needs_files
+def test_only_parts_of_the_same_time_are_tried():
+    w = bpe.Words(FILE)
+    rng = random.Random(2)
+    long = [t for t in sorted(w.tokens) if len(w.tokens[t]) >= 10]
+    pairs = [(rng.choice(long), rng.choice(long)) for _ in range(300)]
+    said = [w.compatible(a, b) for a, b in pairs]  # finds the tokens' parts
+    w.ranks = Asked(w.ranks)
+    assert [w.compatible(a, b) for a, b in pairs] == said
+    steps = w.ranks.n / len(pairs)
+    assert steps < 12  # parts of the two together; each with each they are some 20
+
+
+@needs_files
+def test_ascii_is_split_by_the_small_pattern():
+    rng = random.Random(6)
+    e, signs = bpe.Encoder(FILE), "aZ'stv09 \t\n\x0b\r\x1c\x1f\x00=/+.-\x7f"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(20_000)] + list(map(chr, range(128)))
+    assert [e.split(t) for t in texts] == list(map(bpe.pattern().findall, texts))
+    e.any = None
+    assert all("".join(e.split(t)) == t for t in texts)
+    with pytest.raises(TypeError):
+        e.split("é")
+
+
+@needs_files
+def test_memory_of_pairs_is_bounded(monkeypatch, reference):
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    e = bpe.Encoder(FILE)
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("aeQZtsr9/+") for _ in range(12)) for _ in range(300))
+    assert list(memoryview(e.encode(text)).cast("i")) == reference.encode_ordinary(text)
+    assert e.words.pairs <= 30 + 60 and sum(map(len, e.words.followed.values())) == e.words.pairs
+
+
+def test_sentence_ends():
+    rng = random.Random(9)
+    for _ in range(5000):
+        text = "".join(rng.choice(".!?…:;。\"'»)]ab-") for _ in range(rng.randint(1, 5)))
+        assert split.ends_sentence(text) == bool(split.SENTENCE_END.search(text))
